@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.llm import kernels as K
 
@@ -176,21 +177,23 @@ def _predict_rows(langs: list[str], weights) -> object:
                     sets[row + rows[i]] = ",".join(names[chosen[i]])
             letters = batch.column(batch.schema.get_field_index("letters")).fill_null(False).to_numpy(zero_copy_only=False)
             pred[~letters], score[~letters], sets[~letters] = "und", 0.0, ""
-            cols = [batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(np.minimum(score, 1.0)), pa.array(sets, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "lang_pred", "score", "lang_set"])
+            kept = [i for i, name in enumerate(batch.schema.names) if name not in ("text", "letters")]
+            cols = [*(batch.column(i) for i in kept), pa.array(pred, pa.string()), pa.array(np.minimum(score, 1.0)), pa.array(sets, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*(batch.schema.names[i] for i in kept), "lang_pred", "score", "lang_set"])
 
     return run
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, lang_set (comma-separated) for every row.
+def identify(docs: DataFrame, with_row: bool = False) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, lang_set (comma-separated) for every row (, row: the whole input row).
 
     Learns from the text and lang of rows with crc32(doc_id as text) mod 4 other than 2.
     """
     spark = docs.sparkSession
     langs, weights = fit(docs.where(~held_out(4, 2)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(4, 2).alias("held_out"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(4, 2).alias("held_out"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("letters"), *[F.struct("*").alias("row")] * with_row)
     if not langs:
-        return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit("").alias("lang_set"))
+        return rows.select("doc_id", "held_out", *["row"] * with_row, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit("").alias("lang_set"))
     shared = spark.sparkContext.broadcast(weights)
-    return rows.mapInArrow(_predict_rows(langs, shared), "doc_id long, held_out boolean, lang_pred string, score double, lang_set string")
+    schema = StructType([f for f in rows.schema if f.name not in ("text", "letters")]).add("lang_pred", "string").add("score", "double").add("lang_set", "string")
+    return rows.mapInArrow(_predict_rows(langs, shared), schema)

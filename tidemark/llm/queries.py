@@ -6,9 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.decontamination import overlaps
+from tidemark.llm.language_id import identify
+from tidemark.llm.mixing import mix
 from tidemark.llm.debruijn_dedup import substring_dedup
+from tidemark.llm.quality import quality
 from tidemark.llm.simhash_dedup import op10_simhash
 from tidemark.llm.suffix_dedup import suffix_dedup
+from tidemark.llm.token_shards import training_order
+from tidemark.llm.topk_search import top_k
+from tidemark.llm.toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": lambda s, d: overlaps(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op2_topk_search": lambda s, d: top_k(table(s, d, "embeddings")),
+        "op3_quality": lambda s, d: quality(table(s, d, "documents"), table(s, d, "labels")),
+        "op4_toxicity": lambda s, d: toxicity(table(s, d, "documents"), table(s, d, "labels")),
+        "op5_mixing": lambda s, d: mix(table(s, d, "documents")),
+        "op6_language_id": lambda s, d: identify(table(s, d, "documents")),
+        "op7_token_shards": lambda s, d: training_order(table(s, d, "documents")),
         "op8_suffix_dedup": lambda s, d: suffix_dedup(table(s, d, "documents")),
         "op9_substring_dedup": lambda s, d: substring_dedup(table(s, d, "documents")),
         "op10_simhash": lambda s, d: op10_simhash(table(s, d, "documents")),
@@ -24,7 +38,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_substring_dedup": SUBSTRING_SQL}
+    return {"op2_topk_search": TOPK_SQL, "op9_substring_dedup": SUBSTRING_SQL}
 
 
 #: Windows of 35 words by value; a window that is counted twice removes its words.
@@ -41,3 +55,13 @@ g AS (SELECT r, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string
 SELECT d.doc_id, coalesce(g.n_words, 0)::BIGINT AS n_words, coalesce(g.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(g.kept, '')) AS kept_sha256
 FROM d LEFT JOIN g USING (r)
 """
+
+#: Every query row against every other row, by integer inner product.
+TOPK_SQL = """
+WITH f AS (SELECT vec_id, list_transform(embedding, lambda v: floor(v::DOUBLE * 1024)::BIGINT) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+c AS (SELECT vec_id, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM f),
+s AS (SELECT q.vec_id AS query_id, o.vec_id, sum(q.v * o.v)::BIGINT AS score FROM c q JOIN c o ON q.i = o.i AND q.vec_id <> o.vec_id WHERE q.vec_id % 100 = 0 GROUP BY ALL),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""

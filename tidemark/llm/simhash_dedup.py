@@ -186,6 +186,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 3) -> DataFrame:
+    """Of each group of near-duplicates the row with the least doc_id, with all columns; rows with a null id all stay."""
+    stay = near_duplicates(docs, shingle, distance).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
 def op10_simhash(docs: DataFrame) -> DataFrame:
     """The contract's columns: doc_id, fingerprint (16 lowercase hex digits), component_id."""
     out = near_duplicates(docs)
