@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ def with_lists(docs: DataFrame, rows: DataFrame, how: str, *cols: str) -> DataFr
 def list_of(batch: pa.RecordBatch, *names: str) -> tuple[np.ndarray, list[np.ndarray]]:
     """Offsets and fields of column ``found``; a null list is empty."""
     col = batch.column(batch.schema.get_field_index("found"))
-    sizes = pa.compute.fill_null(pa.compute.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
     flat = col.flatten()
     return np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), [flat.field(n).to_numpy(zero_copy_only=False) for n in names]
 

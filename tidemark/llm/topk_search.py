@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,8 +35,8 @@ def _integers(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Ids and integer rows of the vectors that take part, padded with zeros to one width."""
     lists = table.column("embedding").combine_chunks()
     lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-    size = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))
-    values = pa.compute.cast(lists.flatten(), pa.float64()).to_numpy(zero_copy_only=False)
+    size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+    values = pc.cast(lists.flatten(), pa.float64()).to_numpy(zero_copy_only=False)
     wide = np.zeros((len(size), int(size.max(initial=0))))
     wide[np.arange(wide.shape[1])[None, :] < size[:, None]] = values
     ids = table.column("vec_id").to_numpy()
