@@ -31,9 +31,13 @@ RICH = replace(CFG, saldo_inicial=20_000.0, saldo_minimo=0.0)
 PARAMS = {2: {"sg_window": 11, "sg_poly": 3, "ols_window": 30, "r2_min": 0.3, "z_thr": 1.0}, 3: {"hl_period": 20}, 7: {"z_threshold": 1.0}, 9: {"z_threshold": 1.0}, 10: {"adx_thr": 15.0}, 11: {"z_window": 20, "alma_window": 20, "norm_window": 20, "z_thr": 1.5, "norm_thr": 2.0, "wait_bars": 4}, 0: {}}
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Six places, no negative zero, no NaN."""
-    fix = {c: F.when(~F.isnan(c), F.round(F.col(c), 6) + F.lit(0.0)) for c, t in df.dtypes if t == "double"}
+#: Money has seven places, so that rounding it to six would meet ties.
+MONEY = 8
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """That many places, no negative zero, no NaN."""
+    fix = {c: F.when(~F.isnan(c), F.round(F.col(c), places) + F.lit(0.0)) for c, t in df.dtypes if t == "double"}
     return df.withColumns(fix)
 
 
@@ -84,12 +88,12 @@ def _period(bars: DataFrame) -> DataFrame:
 
 def metrics_summary(s: SparkSession, d: str, cfg: T.Config = CFG) -> DataFrame:
     executed, bars = _executed(s, d, cfg)
-    return rounded(M.summary(executed, cfg, _period(bars)).select("symbol", *SUMMARY_COLS))
+    return rounded(M.summary(executed, cfg, _period(bars)).select("symbol", *SUMMARY_COLS), MONEY)
 
 
 def _scores(s: SparkSession, d: str, cfg: T.Config = CFG) -> DataFrame:
     executed, bars = _executed(s, d, cfg)
-    return rounded(M.scored(M.summary(executed, cfg, _period(bars))).select("symbol", "score"))
+    return rounded(M.scored(M.summary(executed, cfg, _period(bars))).select("symbol", "score"), MONEY)
 
 
 #: Trials of the sweep queries: number, length of the average, stop and target in percent.
@@ -200,12 +204,12 @@ def queries() -> dict[str, Query]:
         "trailing_trace": _trace,
         "trades_nonoverlap": lambda s, d: T.nonoverlapping(_exited(s, d)[0]).select("symbol", "seq", "entry_idx", "exit_idx"),
         "trades_cooldown": lambda s, d: T.nonoverlapping(_exited(s, d)[0], block_bars=5).select("symbol", "seq", "entry_idx", "exit_idx"),
-        "account_sim": lambda s, d: rounded(_executed(s, d)[0].select(*EXEC_COLS)),
-        "account_ruin": lambda s, d: rounded(_executed(s, d, RUIN)[0].select(*EXEC_COLS)),
-        "account_long": lambda s, d: rounded(_executed(s, d, RICH)[0].select(*EXEC_COLS)),
+        "account_sim": lambda s, d: rounded(_executed(s, d)[0].select(*EXEC_COLS), MONEY),
+        "account_ruin": lambda s, d: rounded(_executed(s, d, RUIN)[0].select(*EXEC_COLS), MONEY),
+        "account_long": lambda s, d: rounded(_executed(s, d, RICH)[0].select(*EXEC_COLS), MONEY),
         "metrics_long": lambda s, d: metrics_summary(s, d, RICH),
         "score_long": lambda s, d: _scores(s, d, RICH),
-        "equity_drawdown": lambda s, d: rounded(T.equity(_executed(s, d)[0], CFG).drop("delta")),
+        "equity_drawdown": lambda s, d: rounded(T.equity(_executed(s, d)[0], CFG).drop("delta"), MONEY),
         "streaks": _streaks,
         "longest_trade": _longest,
         "metrics_summary": metrics_summary,
@@ -234,8 +238,8 @@ def _guard(x: str, k: int, value: str) -> str:
     return f"CASE WHEN count({x}) OVER {_rows(k)} >= {k} THEN {value} OVER {_rows(k)} END"
 
 
-def _r(x: str) -> str:
-    return f"CASE WHEN NOT isnan(({x})::DOUBLE) THEN round(({x})::DOUBLE, 6) + 0.0 END"
+def _r(x: str, places: int = 6) -> str:
+    return f"CASE WHEN NOT isnan(({x})::DOUBLE) THEN round(({x})::DOUBLE, {places}) + 0.0 END"
 
 
 _TICKS = "ticks AS (SELECT event_type AS symbol, ts AS timestamp, value AS price, 1.0::DOUBLE AS size, event_id AS tie FROM events)"
@@ -403,8 +407,8 @@ def _metric_sql(cfg: T.Config, tag: str = "") -> str:
     sc{tag} AS (SELECT *, CASE WHEN trades_por_dia < 0.25 THEN trades_por_dia / 0.25 ELSE 1 + 15 * greatest(sqn, 0) + 20 * least(greatest(coalesce(profit_factor, 1), 1), 4) + 10 * greatest(sortino, 0) + 0.5 * power(100 - drawdown, 1.2) END AS score FROM ms{tag})"""
 
 
-def _tail(sql: str, table: str, keys: tuple[str, ...], doubles: tuple[str, ...]) -> str:
-    return f"{_BASE}, {sql} SELECT {', '.join(keys)}" + "".join(f", {_r(d)} AS {d}" for d in doubles) + f" FROM {table}"
+def _tail(sql: str, table: str, keys: tuple[str, ...], doubles: tuple[str, ...], places: int = 6) -> str:
+    return f"{_BASE}, {sql} SELECT {', '.join(keys)}" + "".join(f", {_r(d, places)} AS {d}" for d in doubles) + f" FROM {table}"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -474,17 +478,17 @@ def oracle_sql() -> dict[str, str]:
         s[name] = f"{_BASE}, {_exit_sql(CFG)}, {_chain_sql(block)} SELECT symbol, seq::BIGINT AS seq, entry_idx, exit_idx FROM t"
     exec_keys, exec_vals = ("symbol", "seq::BIGINT AS seq", "entry_idx", "exit_idx"), tuple(c for c in EXEC_COLS if c not in ("symbol", "seq", "entry_idx", "exit_idx"))
     for name, cfg in (("account_sim", CFG), ("account_ruin", RUIN), ("account_long", RICH)):
-        s[name] = _tail(f"{_exit_sql(cfg)}, {_chain_sql()}, {_account_sql(cfg)}", "ex", exec_keys, exec_vals)
+        s[name] = _tail(f"{_exit_sql(cfg)}, {_chain_sql()}, {_account_sql(cfg)}", "ex", exec_keys, exec_vals, MONEY)
     ran = f"{_exit_sql(CFG)}, {_chain_sql()}, {_account_sql(CFG)}, {_metric_sql(CFG)}"
-    s["equity_drawdown"] = f"{_BASE}, {ran} SELECT symbol, seq::BIGINT AS seq, {_r('equity')} AS equity, {_r('peak')} AS peak, {_r('peak - equity')} AS drawdown, {_r('100.0 * (peak - equity) / peak')} AS drawdown_pct FROM q1"
+    s["equity_drawdown"] = f"{_BASE}, {ran} SELECT symbol, seq::BIGINT AS seq, {_r('equity', MONEY)} AS equity, {_r('peak', MONEY)} AS peak, {_r('peak - equity', MONEY)} AS drawdown, {_r('100.0 * (peak - equity) / peak', MONEY)} AS drawdown_pct FROM q1"
     s["streaks"] = f"{_BASE}, {ran} SELECT symbol, racha_ganadora, racha_perdedora FROM r"
     s["longest_trade"] = f"{_BASE}, {ran} SELECT symbol, entry_idx, exit_idx, {_r('duracion_min')} AS duracion_min FROM ex QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY duracion_min DESC, entry_idx) = 1"
     whole = {"n_trades", "n_trades_long", "n_trades_short", "racha_ganadora", "racha_perdedora"}
-    s["metrics_summary"] = _tail(ran, "ms", ("symbol", *sorted(whole)), tuple(c for c in SUMMARY_COLS if c not in whole))
-    s["score"] = _tail(ran, "sc", ("symbol",), ("score",))
+    s["metrics_summary"] = _tail(ran, "ms", ("symbol", *sorted(whole)), tuple(c for c in SUMMARY_COLS if c not in whole), MONEY)
+    s["score"] = _tail(ran, "sc", ("symbol",), ("score",), MONEY)
     rich = f"{_exit_sql(RICH)}, {_chain_sql()}, {_account_sql(RICH)}, {_metric_sql(RICH)}"
-    s["metrics_long"] = _tail(rich, "ms", ("symbol", *sorted(whole)), tuple(c for c in SUMMARY_COLS if c not in whole))
-    s["score_long"] = _tail(rich, "sc", ("symbol",), ("score",))
+    s["metrics_long"] = _tail(rich, "ms", ("symbol", *sorted(whole)), tuple(c for c in SUMMARY_COLS if c not in whole), MONEY)
+    s["score_long"] = _tail(rich, "sc", ("symbol",), ("score",), MONEY)
     tags = [(f"_{n}", n, k, sl, tp) for n, k, sl, tp in TRIALS]
     sweep_sql = ", ".join(f"{_exit_sql(CFG, k, t, sl, tp)}, {_chain_sql(0, t)}, {_account_sql(CFG, t)}, {_metric_sql(CFG, t)}" for t, _, k, sl, tp in tags)
     union = " UNION ALL ".join(f"SELECT y.symbol, {n}::BIGINT AS trial, n_trades, saldo_actual, coalesce(score, 0) AS score FROM (SELECT DISTINCT symbol FROM b) y LEFT JOIN sc{t} USING (symbol)" for t, n, *_ in tags)
