@@ -244,7 +244,7 @@ def _score_rows(model, scale: np.ndarray) -> object:
                 apart = np.ones(len(hot), bool)
                 apart[1:] = (np.diff(hot) != 1) | (np.diff(doc) != 0)
                 a = np.flatnonzero(apart)
-                b = np.append(a[1:], len(hot)) - 1
+                b = np.append(a[1:], len(hot))[: len(a)] - 1
                 sizes.append(np.bincount(doc[a], minlength=len(first) - 1))
                 begin.append(starts[hot[a]] - offsets[doc[a]])
                 stop.append(ends[hot[b]] - offsets[doc[a]])
