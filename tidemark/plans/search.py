@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import statistics
 from collections.abc import Callable, Iterable
 from dataclasses import replace
 from itertools import product
@@ -72,8 +73,11 @@ def tpe(strategy: Strategy, told: list[tuple[dict[str, Any], float]], n: int, se
     def density(x, kind, seen):
         if isinstance(kind, Choice):
             return (sum(s == x for s in seen) + 1) / (len(seen) + len(kind.values))
-        width = max((kind.high - kind.low) / math.sqrt(len(seen) + 1), 1e-12)
-        return (sum(math.exp(-0.5 * ((x - s) / width) ** 2) for s in seen) / width + 1e-3) / (len(seen) + 1)
+        span = max(kind.high - kind.low, 1e-9)
+        spread = statistics.pstdev(seen) if len(seen) > 1 else span
+        width = max(1.06 * spread * max(len(seen), 1) ** -0.2, span / 100)
+        near = sum(math.exp(-0.5 * ((x - s) / width) ** 2) for s in seen) / (width * math.sqrt(2 * math.pi))
+        return (near + 1 / span) / (len(seen) + 1)  # one more, flat over the range
 
     def gain(p):
         space = strategy.space(p) | (extra or {})
