@@ -51,7 +51,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) for slices of about ``limit`` bytes."""
-    col = batch.column(batch.schema.get_field_index(text))
+    yield from pieces(batch.column(batch.schema.get_field_index(text)), limit)
+
+
+def pieces(col: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``chunks`` of one column."""
     if col.null_count:
         col = col.fill_null("" if pa.types.is_string(col.type) or pa.types.is_large_string(col.type) else b"")
     wide = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)

@@ -158,9 +158,11 @@ def _predict_rows(langs: list[str], weights) -> object:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
-        for batch in batches:
+        # Small slices, as a whole row may be passed on with each prediction.
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
+            col = batch.column(batch.schema.get_field_index("text")) if "text" in batch.schema.names else batch.column(batch.schema.get_field_index("row")).field("text")
             pred, score, sets = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows), np.full(batch.num_rows, "", object)
-            for row, _, data, offsets in K.chunks(batch, limit=1 << 20):
+            for row, _, data, offsets in K.pieces(col, 1 << 20):
                 bucket, context, where, first = _grams(data, offsets)
                 if not len(bucket):
                     continue
@@ -191,7 +193,9 @@ def identify(docs: DataFrame, with_row: bool = False) -> DataFrame:
     """
     spark = docs.sparkSession
     langs, weights = fit(docs.where(~held_out(4, 2)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(4, 2).alias("held_out"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("letters"), *[F.struct("*").alias("row")] * with_row)
+    text = F.col("text").cast("string").alias("text")
+    passed = F.struct(*[text if c == "text" else F.col(c) for c in docs.columns]).alias("row") if with_row else text
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(4, 2).alias("held_out"), passed, F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     if not langs:
         return rows.select("doc_id", "held_out", *["row"] * with_row, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit("").alias("lang_set"))
     shared = spark.sparkContext.broadcast(weights)

@@ -8,7 +8,7 @@ leaves it, find them all at once. Documents of one source and size have one rate
 so the iterations run over counts of documents by source and size, of which a
 source has no more than it has different sizes. Rates then become whole copies for
 each size, rounded along the sizes so that errors cancel, and the words
-still missing or in excess are given to or taken from the largest sizes that fit.
+still missing or in excess are settled by a few single moves, each of the size nearest to them.
 
 Defined results: a null or empty text has size 0, takes no words and no part; a null
 source is a source of its own and the last; repeated rows count each; an empty table
@@ -92,11 +92,12 @@ def copies(cells: DataFrame, cap: int = 3) -> DataFrame:
         for _ in range(STEPS):
             now = now.withColumn("left", F.round(F.col("target") - F.sum(F.col("m") * F.col("size")).over(w)).cast("long"))
             room = F.when(F.col("left") > 0, F.col("n") * cap - F.col("m")).otherwise(F.col("m"))
-            fits = (F.col("size") <= F.abs("left")) & (room > 0)
-            now = now.withColumn("pick", F.max(F.when(fits, F.col("size"))).over(w))
-            move = F.least(room, F.floor(F.abs("left") / F.col("size")))
-            now = now.withColumn("m", F.when(F.col("size") == F.col("pick"), F.col("m") + F.signum("left").cast("long") * move).otherwise(F.col("m")))
-        now = materialize(now.drop("left", "pick"))
+            many = F.greatest(F.least(room, F.floor(F.abs("left") / F.max("size").over(w))), F.lit(1))
+            cost = F.abs(F.abs("left") - many * F.col("size"))
+            fits = (room > 0) & (cost < F.abs("left"))
+            now = now.withColumns({"many": many, "pick": F.min(F.when(fits, F.struct(cost.alias("cost"), F.col("size")))).over(w)["size"]})
+            now = now.withColumn("m", F.when(F.col("size") == F.col("pick"), F.col("m") + F.signum("left").cast("long") * F.col("many")).otherwise(F.col("m")))
+        now = materialize(now.drop("left", "pick", "many"))
     return now
 
 
