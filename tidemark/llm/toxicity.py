@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import kernels as K
 from tidemark.llm.labelled import training_rows
 from tidemark.llm.language_id import held_out
+from tidemark.llm.store import materialize
 
 BITS, RUN = 19, 64
 #: Labelled documents to learn from, at most about this many.
@@ -259,7 +260,7 @@ def _score_rows(model, scale: np.ndarray) -> object:
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, spans (byte ranges); learns where crc32(doc_id as text) mod 5 is not 0."""
     spark = docs.sparkSession
-    rows = training_rows(docs, labels, "toxic", 5, 0, SAMPLE)
+    rows = materialize(training_rows(docs, labels, "toxic", 5, 0, SAMPLE))  # read three times
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(5, 0).alias("held_out"), F.col("text").cast("string").alias("text"))
     got = rows.mapInArrow(_seen_rows, "part int, counts binary").groupBy("part").applyInArrow(_add, "part int, counts binary").collect()
     flat = np.concatenate([np.frombuffer(bytes(r.counts), np.int64) for r in sorted(got, key=lambda r: r.part)]) if got else np.zeros(2 << BITS, np.int64)
