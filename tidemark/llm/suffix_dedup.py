@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
 from tidemark.llm import spans as S
-from tidemark.llm.store import materialize
+from tidemark.llm.store import discard, materialize
 
 #: Bytes of suffix records that one range should hold, and rows of the sample behind the splitters.
 RANGE_BYTES, SAMPLE = 12 << 20, 8192
@@ -180,9 +180,12 @@ def repeated_strings(docs: DataFrame, window: int = 100, k: int = 24) -> DataFra
     joined = S.with_lists(S.keyed(docs), marked, "inner", "pos").select("id", "th", "text", "found")
     schema = "bucket int, id long, th int, pos int, pre binary, suf binary, lo int, hi int"
     rows = materialize(joined.mapInArrow(_suffix_rows(window, k, splitters), schema))
+    discard(marked)
     sent = rows.where("bucket >= 0").select("bucket", "id", "th", "pos", "pre", "suf")
     settled = sent.repartition(max(len(splitters) + 1, 1), "bucket").groupBy("bucket").applyInArrow(_settle(window, k), "id long, th int, lo int, hi int")
-    return settled.unionByName(rows.where("bucket < 0").select("id", "th", "lo", "hi"))
+    found = materialize(settled.unionByName(rows.where("bucket < 0").select("id", "th", "lo", "hi")))
+    discard(rows)
+    return found
 
 
 def _cut_rows(window: int, with_text: bool):
