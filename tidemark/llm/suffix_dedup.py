@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
 from tidemark.llm import spans as S
+from tidemark.llm.skew import join_counted
 from tidemark.llm.store import discard, materialize
 
 #: Bytes of suffix records that one range should hold, and rows of the sample behind the splitters.
@@ -171,8 +172,8 @@ def _settle(window: int, k: int):
 def repeated_strings(docs: DataFrame, window: int = 100, k: int = 24) -> DataFrame:
     """(id, th, lo, hi): spans of starts, in bytes, of ``window``-byte strings that also start earlier."""
     marks = S.keyed(docs).select("id", "th", "text").mapInArrow(_mark_rows(window, k), "key long, id long, th int, pos int, head binary")
-    recur = marks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    marked = materialize(marks.join(recur, "key", "left_semi").drop("key"))
+    recur = marks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    marked = materialize(join_counted(marks, materialize(recur), "key", "id", "pos").drop("key"))
     ranges = max(1, math.ceil(marked.count() * (2 * window) / RANGE_BYTES))
     sample = marked.where("head is not null").orderBy(F.xxhash64("id", "pos"), "id", "pos").limit(SAMPLE).select("head").collect()
     heads = sorted(bytes(r.head) for r in sample)
