@@ -17,7 +17,8 @@ from tidemark.llm.decontamination import WINDOW, allowed, decontaminate, overlap
 from tidemark.llm.language_id import identify
 from tidemark.llm.mixing import mix, mixed
 from tidemark.llm.quality import quality
-from tidemark.llm.simhash_dedup import _linked, near_duplicates, one_of_each, op10_simhash
+from tidemark.llm.simhash_dedup import _linked, op10_simhash
+from tidemark.llm.similar import one_of_each, similar_groups
 from tidemark.llm.suffix_dedup import multikey_sort, suffix_dedup
 from tidemark.llm.token_shards import PATTERN, TOKENIZER, feistel, read_sequences, training_order, write_shards
 from tidemark.llm.topk_search import top_k
@@ -137,10 +138,68 @@ def test_simhash(spark, odd, empty):
     got = op10_simhash(odd).collect()
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {i: (f"{f[i]:016x}", comp[i]) for i in f}
     assert op10_simhash(empty).count() == 0
-    kept = one_of_each(odd)
-    assert kept.columns == odd.columns
-    groups = near_duplicates(odd, 5, 3).select("component_id").distinct().count()
-    assert kept.count() == groups
+
+
+def shingle_set(text):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    w = words(low)
+    return frozenset([" ".join(w[i : i + 5]) for i in range(len(w) - 4)] or ([" ".join(w)] if w else []))
+
+
+def similar_by_brute_force(rows, similarity=0.8):
+    """Least doc_id reachable over pairs whose five-word shingle sets reach the similarity."""
+    sets = {r.doc_id: shingle_set(r.text) for r in rows}
+    comp = dict.fromkeys(sets)
+    for i in sorted(sets):
+        if comp[i] is None:
+            todo, comp[i] = [i], i
+            while todo:
+                a = sets[todo.pop()]
+                for b in sets:
+                    if comp[b] is None and (a == sets[b] or len(a & sets[b]) >= similarity * len(a | sets[b])):
+                        comp[b] = i
+                        todo.append(b)
+    return comp
+
+
+def test_similar_groups_match_brute_force(spark, odd, empty):
+    rng = np.random.default_rng(7)
+    base = [f"t{x}" for x in rng.integers(0, 9000, 160)]
+    made = []
+    # One text with words replaced, from close copies to ones on both sides of the threshold, and chains of edits.
+    for i in range(60):
+        now = list(made[-1][1].split()) if i % 3 == 2 else list(base)
+        for at in rng.integers(0, 160, 1 + i % 6):
+            now[at] = f"u{i}"
+        made.append(doc(2000 + i, " ".join(now)))
+    made += [doc(3000, "Some Words"), doc(3001, "some  words"), doc(3002, "some words"), doc(3003, "one two three four five six")]
+    docs = odd.union(spark.createDataFrame(made, SCHEMA))
+    want = similar_by_brute_force(docs.select("doc_id", "text").collect())
+    got = similar_groups(docs).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert len(got) == len(want)
+    assert len(set(want.values())) < len(want) - 40
+    nulls = docs.union(docs.limit(3)).union(spark.createDataFrame([doc(None, base[0]), doc(None, base[0])], SCHEMA))
+    kept = one_of_each(nulls)
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.select("doc_id").collect()]
+    assert ids.count(None) == 2
+    assert sorted(i for i in ids if i is not None) == sorted(set(want.values()))
+    assert similar_groups(empty).count() == 0
+    assert one_of_each(empty).count() == 0
+
+
+def test_members_apart_after_the_pivots_are_compared(spark, monkeypatch):
+    import tidemark.llm.similar as M
+
+    rng = np.random.default_rng(3)
+    shared = [f"s{x}" for x in range(150)]
+    docs = [doc(i, " ".join(shared + [f"g{i // 2}x{j}" for j in range(60)] + [f"d{i}"])) for i in range(40)]
+    table = spark.createDataFrame([docs[i] for i in rng.permutation(40)], SCHEMA)
+    want = similar_by_brute_force(table.collect())
+    assert set(want.values()) == set(range(0, 40, 2))
+    monkeypatch.setattr(M, "PIVOTS", 1)
+    assert {r.doc_id: r.component_id for r in similar_groups(table).collect()} == want
 
 
 def test_large_groups_link_as_small_ones():

@@ -55,25 +55,27 @@ def fold_bits(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fingerprint_rows(shingle: int):
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first): XXH64 of each row's word shingles, repeats included; those of row i are first[i] to first[i + 1]."""
     digest = xxhash.xxh64_intdigest
+    starts, ends, first = K.words(data, offsets)
+    size = ends - starts + 1
+    at = np.concatenate(([0], np.cumsum(size)))
+    flat = K.LOWER[np.append(data, np.uint8(32))[K.take_ranges(starts, size)]]
+    flat[at[1:] - 1] = 32  # one space after each word
+    n = np.diff(first)
+    of = np.maximum(n - shingle + 1, np.minimum(n, 1))
+    begin = K.take_ranges(first[:-1], of)
+    last = np.minimum(begin + shingle, np.repeat(first[1:], of))
+    buf = flat.tobytes()
+    got = [digest(buf[a:b], 42) for a, b in zip(at[begin].tolist(), (at[last] - 1).tolist(), strict=True)]
+    return np.array(got, np.uint64), np.concatenate(([0], np.cumsum(of)))
+
 
+def _fingerprint_rows(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for _, _, data, offsets in K.chunks(batch):
-                starts, ends, first = K.words(data, offsets)
-                size = ends - starts + 1
-                at = np.concatenate(([0], np.cumsum(size)))
-                flat = K.LOWER[np.append(data, np.uint8(32))[K.take_ranges(starts, size)]]
-                flat[at[1:] - 1] = 32  # one space after each word
-                n = np.diff(first)
-                of = np.maximum(n - shingle + 1, np.minimum(n, 1))
-                begin = K.take_ranges(first[:-1], of)
-                last = np.minimum(begin + shingle, np.repeat(first[1:], of))
-                buf = flat.tobytes()
-                got = [digest(buf[a:b], 42) for a, b in zip(at[begin].tolist(), (at[last] - 1).tolist(), strict=True)]
-                found.append(fold_bits(np.array(got, np.uint64), np.concatenate(([0], np.cumsum(of)))))
+            found = [fold_bits(*shingle_hashes(data, offsets, shingle)) for _, _, data, offsets in K.chunks(batch)]
             prints = np.concatenate(found) if found else np.empty(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
@@ -186,13 +188,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 3) -> DataFrame:
-    """Of each group of near-duplicates the row with the least doc_id, with all columns; rows with a null id all stay."""
-    stay = near_duplicates(docs, shingle, distance).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
-
-
 def op10_simhash(docs: DataFrame) -> DataFrame:
     """The contract's columns: doc_id, fingerprint (16 lowercase hex digits), component_id."""
     out = near_duplicates(docs)
