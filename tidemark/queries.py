@@ -117,7 +117,7 @@ def _asof(mode: str) -> Query:
 
 def _nearest(s: SparkSession, d: str) -> DataFrame:
     ticks = event_ticks(s, d)
-    points = ticks.where("tie.event_id % 10 = 0").select("symbol", "timestamp", F.col("tie.event_id").alias("event_id"))
+    points = ticks.select("symbol", "timestamp", F.col("tie.event_id").alias("event_id"))
     return B.nearest(points, B.ticks_to_bars(ticks, "1 hour"), "event_id")
 
 
