@@ -128,12 +128,12 @@ def _cut_rows(window: int, with_text: bool):
 
 def repeated_windows(docs: DataFrame, window: int = 35, k: int = 8) -> DataFrame:
     """(id, th, lo, hi): spans of window starts, in words, whose windows start anywhere else too."""
-    nodes = S.keyed(docs).select("id", "th", "text").mapInArrow(_node_rows(window, k), "key long, id long, th int, pos int, nxt long, prv long")
+    nodes = S.keyed(docs).select("id", "th", "text").mapInArrow(_node_rows(window, k), "key long, id long, th long, pos int, nxt long, prv long")
     one = lambda c: (F.min(c) == F.max(c)) & (F.min(c) != 0)  # noqa: E731  unbranched: the same edge at every occurrence
     degree = nodes.groupBy("key").agg(F.count("*").alias("n"), one("nxt").alias("out1"), one("prv").alias("in1")).where("n > 1")
     recurring = join_counted(nodes.select("key", "id", "th", "pos"), materialize(degree), "key", "id", "pos")
     joined = S.with_lists(S.keyed(docs), recurring, "inner", "pos", "out1", "in1")
-    rows = materialize(joined.select("id", "th", "text", "found").mapInArrow(_window_rows(window, k), "wh long, id long, th int, lo int, hi int"))
+    rows = materialize(joined.select("id", "th", "text", "found").mapInArrow(_window_rows(window, k), "wh long, id long, th long, lo int, hi int"))
     counted = rows.where("wh is not null")
     again = counted.groupBy("wh").agg(F.count("*").alias("n")).where("n > 1")
     return rows.where("wh is null").drop("wh").unionByName(join_counted(counted, materialize(again), "wh", "id", "lo").drop("wh"))

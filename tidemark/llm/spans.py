@@ -14,9 +14,9 @@ _NO_ID = -(1 << 63)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(id, th, doc_id, text): a row is known by its id and a hash of its text; a null id sorts first."""
+    """(id, th, doc_id, text): a row is known by its id and a 64-bit hash of its text; a null id sorts first."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.hash("text").alias("th"), "doc_id", "text")
+    return docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("th"), "doc_id", "text")
 
 
 def with_lists(docs: DataFrame, rows: DataFrame, how: str, *cols: str) -> DataFrame:

@@ -171,7 +171,7 @@ def _settle(window: int, k: int):
 
 def repeated_strings(docs: DataFrame, window: int = 100, k: int = 24) -> DataFrame:
     """(id, th, lo, hi): spans of starts, in bytes, of ``window``-byte strings that also start earlier."""
-    marks = S.keyed(docs).select("id", "th", "text").mapInArrow(_mark_rows(window, k), "key long, id long, th int, pos int, head binary")
+    marks = S.keyed(docs).select("id", "th", "text").mapInArrow(_mark_rows(window, k), "key long, id long, th long, pos int, head binary")
     recur = marks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     marked = materialize(join_counted(marks, materialize(recur), "key", "id", "pos").drop("key"))
     ranges = max(1, math.ceil(marked.count() * (2 * window) / RANGE_BYTES))
@@ -179,11 +179,11 @@ def repeated_strings(docs: DataFrame, window: int = 100, k: int = 24) -> DataFra
     heads = sorted(bytes(r.head) for r in sample)
     splitters = sorted({heads[len(heads) * i // ranges] for i in range(1, ranges)}) if heads else []
     joined = S.with_lists(S.keyed(docs), marked, "inner", "pos").select("id", "th", "text", "found")
-    schema = "bucket int, id long, th int, pos int, pre binary, suf binary, lo int, hi int"
+    schema = "bucket int, id long, th long, pos int, pre binary, suf binary, lo int, hi int"
     rows = materialize(joined.mapInArrow(_suffix_rows(window, k, splitters), schema))
     discard(marked)
     sent = rows.where("bucket >= 0").select("bucket", "id", "th", "pos", "pre", "suf")
-    settled = sent.repartition(max(len(splitters) + 1, 1), "bucket").groupBy("bucket").applyInArrow(_settle(window, k), "id long, th int, lo int, hi int")
+    settled = sent.repartition(max(len(splitters) + 1, 1), "bucket").groupBy("bucket").applyInArrow(_settle(window, k), "id long, th long, lo int, hi int")
     found = materialize(settled.unionByName(rows.where("bucket < 0").select("id", "th", "lo", "hi")))
     discard(rows)
     return found

@@ -108,7 +108,7 @@ def training_order(docs: DataFrame, tokenizer: str = TOKENIZER, key: int = 20_24
     spark = docs.sparkSession
     with open(tokenizer, "rb") as f:
         vocabulary = spark.sparkContext.broadcast(f.read())
-    tokens = materialize(S.keyed(docs).mapInArrow(_token_rows(vocabulary), "id long, th int, doc_id long, n long, ids binary"))
+    tokens = materialize(S.keyed(docs).withColumn("th", F.hash("text")).mapInArrow(_token_rows(vocabulary), "id long, th int, doc_id long, n long, ids binary"))
     pieces = F.ceil(F.col("n") / length)
     own = tokens.groupBy("id", "th").agg(F.sum(pieces).alias("all"), F.max(pieces).alias("each"), F.count("*").alias("rows"))
     groups = max(16, own.count() // 200_000)
