@@ -135,6 +135,7 @@ def anchors(order: np.ndarray, w: int, offsets: np.ndarray, k: int) -> np.ndarra
     n = len(order)
     if n < w:
         return np.empty(0, np.int64)
+    order = np.maximum(order, 1)  # zero stands for no window
     low = _slide(order, w, np.minimum)
     whole = np.zeros(len(low), bool)
     for a, b in _ranges(offsets, w + k - 1):
@@ -142,7 +143,7 @@ def anchors(order: np.ndarray, w: int, offsets: np.ndarray, k: int) -> np.ndarra
     low[~whole] = 0
     padded = np.zeros(n + w - 1, order.dtype)
     padded[w - 1 : w - 1 + len(low)] = low
-    return np.flatnonzero((_slide(padded, w, np.maximum) == order) & (order > 0))
+    return np.flatnonzero((_slide(padded, w, np.maximum) == order))
 
 
 def _ranges(offsets: np.ndarray, span: int) -> Iterator[tuple[int, int]]:
