@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.decontamination import decontaminate
 from tidemark.llm.language_id import identify
 from tidemark.llm.mixing import mixed
-from tidemark.llm.similar import one_of_each
+from tidemark.llm.similar import one_row_of_each
 from tidemark.llm.store import materialize
 from tidemark.llm.token_shards import training_order
 
@@ -22,8 +22,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingle sets link at a similarity of 0.8 or more."""
-    return one_of_each(docs, shingle=5, similarity=0.8)
+    """One row of each group whose five-word shingle sets link at a similarity of 0.8 or more."""
+    return one_row_of_each(docs, shingle=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
+from tidemark.llm.rows import row_hash
 
 WINDOW, BLOOM_BITS, SIDE = 13, 24, 13
 
@@ -129,9 +130,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "first_word", "end_word", "matched"])
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, first_word, end_word (bounds of the agreeing words), matched (most in one window)."""
-    spark = docs.sparkSession
+def _spans(text: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Agreeing spans of ``text`` (id, text), an id's own under ``doc_id``."""
+    spark = text.sparkSession
     masks = {n: seed_masks(n) for n in range(1, WINDOW + 1)}
     schema = "seed long, id long, at int, n int, words binary"
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
@@ -147,14 +148,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bloom = spark.sparkContext.broadcast(np.unpackbits(packed.view(np.uint8), bitorder="little").astype(bool))
     sizes = sorted(r.n for r in seeds.select("n").distinct().collect())  # 13 at most
     present = [(n, masks[n]) for n in sizes]
-    text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     found = text.mapInArrow(_rows(lambda _: present, bloom), schema)
     hits = found.join(seeds, ["seed", "n"]).select("id", "at", "n", "words", "item_id", "item_words")
-    spans = hits.mapInArrow(_verify, "doc_id long, item_id long, first_word int, end_word int, matched int")
+    return hits.mapInArrow(_verify, "doc_id long, item_id long, first_word int, end_word int, matched int")
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, first_word, end_word (bounds of the agreeing words), matched (most in one window)."""
+    spans = _spans(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), benchmark)
     return spans.groupBy("doc_id", "item_id").agg(F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.max("matched").alias("matched"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without an overlap, with all their columns. A null doc_id stays."""
-    dirty = overlaps(docs, benchmark).select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti").select(*docs.columns)
+    """The rows without an overlap, with all their columns. Rows are known by a 64-bit hash of doc_id and text."""
+    dirty = _spans(docs.select(row_hash().alias("id"), F.col("text").cast("string").alias("text")), benchmark).select(F.col("doc_id").alias("key")).distinct()
+    return docs.select(row_hash().alias("key"), F.struct("*").alias("row")).join(dirty, "key", "left_anti").select("row.*")

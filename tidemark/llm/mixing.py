@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.llm.rows import others, row_hash
 from tidemark.llm.store import discard, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,11 +30,11 @@ SALTS = 64
 STEPS, ROUNDS = 6, 20
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, size, salt): the words of each text; key keeps the sources' order, null last."""
+def sizes(docs: DataFrame, *carry: Column) -> DataFrame:
+    """(doc_id, key, size, place, salt, carried columns): the words of each text; key keeps the sources' order, null last."""
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     key = F.coalesce(F.concat(F.lit("0"), F.col("source").cast("string")), F.lit("1"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), size.alias("size"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), size.alias("size"), row_hash().alias("place"), F.pmod(row_hash(), F.lit(SALTS)).cast("int").alias("salt"), *carry)
 
 
 def targets(counted: DataFrame, cap: float = 3.0) -> DataFrame:
@@ -101,9 +102,9 @@ def copies(cells: DataFrame, cap: int = 3) -> DataFrame:
     return now
 
 
-def mix(docs: DataFrame, cap: int = 3) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies for every row."""
-    rows = sizes(docs)
+def _placed(docs: DataFrame, cap: int, order: Column, *carry: Column) -> DataFrame:
+    """Every row of ``sizes`` with its own ``copies``; rows equal in doc_id and text go by ``order``."""
+    rows = sizes(docs, order.alias("order"), *carry)
     fine = materialize(rows.groupBy("key", "size", "salt").agg(F.count("*").alias("n")))
     goals = materialize(targets(fine, cap))
     cells = fine.where("size > 0").groupBy("key", "size").agg(F.sum("n").alias("n")).join(goals, "key")
@@ -112,14 +113,18 @@ def mix(docs: DataFrame, cap: int = 3) -> DataFrame:
     by_salt = W.partitionBy("key", "size").orderBy("salt")
     shares = fine.withColumnRenamed("n", "own").join(planned.select("key", "size", "n", "m"), ["key", "size"]).withColumn("before", F.coalesce(F.sum("own").over(by_salt.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     shares = shares.select("key", "size", "salt", F.floor(F.col("m") / F.col("n")).alias("each"), F.greatest(F.col("m") % F.col("n") - F.col("before"), F.lit(0)).alias("extra"))
-    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("key", "size", "salt").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id")))
+    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("key", "size", "salt").orderBy(F.xxhash64(F.lit(7), "place"), "place", "order")))
     placed = ranked.join(shares, ["key", "size", "salt"], "left").join(goals, "key")
     n = F.coalesce(F.col("each") + (F.col("rank") <= F.col("extra")).cast("long"), F.lit(0))
-    return placed.select("doc_id", "size", "source_size", F.col("target"), (n * F.col("size")).alias("taken"), n.alias("copies"))
+    return placed.withColumn("copies", n)
+
+
+def mix(docs: DataFrame, cap: int = 3) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies for every row."""
+    return _placed(docs, cap, F.lit(0)).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mixed(docs: DataFrame, cap: int = 3) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them. Rows with one doc_id share the largest count among them."""
-    plan = mix(docs, cap).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0").select(F.col("doc_id").alias("plan_id"), F.sequence(F.lit(1), F.col("copies").cast("int")).alias("times"))
-    own = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.struct("*").alias("row"))
-    return own.join(plan, F.col("own_id").eqNullSafe(F.col("plan_id"))).select("row", F.explode("times").alias("time")).select("row.*")
+    """The rows of ``docs`` as often as the mix takes each, whatever its doc_id."""
+    taken = _placed(docs, cap, others(docs), F.struct("*").alias("row")).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("time")).select("row.*")

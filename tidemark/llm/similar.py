@@ -13,9 +13,10 @@ fingerprint leave a similarity of the threshold possible. Nothing is capped. Piv
 pre-aggregated minima, and hot groups and hot pivots are dealt over salts.
 
 Defined results: a null text counts as empty; texts without words are equal to each other;
-fewer words than a shingle make one shingle of them all; rows with equal doc_id count
-as one document; a null doc_id is in no group; an empty table gives no rows; further columns
-of the input are ignored.
+fewer words than a shingle make one shingle of them all; an empty table gives no rows.
+``one_row_of_each`` decides on rows, whatever their doc_id: null and repeated ids take part with
+each of their texts. In ``similar_groups`` and ``one_of_each`` rows with equal doc_id count as one
+document and a null doc_id is in no group. Sets are known by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
 from tidemark.llm.components import components
+from tidemark.llm.rows import others, row_key
 from tidemark.llm.simhash_dedup import fingerprint_links, fold_bits, shingle_hashes
 from tidemark.llm.skew import join_counted
 from tidemark.llm.store import discard, materialize
@@ -37,6 +39,8 @@ from tidemark.llm.store import discard, materialize
 BANDS, ROWS = 25, 4
 #: Rounds that compare each group's members with one pivot before parts are compared across.
 PIVOTS = 3
+#: What equal sets share.
+SAME = ["content", "fp", "size"]
 #: Fingerprint bits in which sets at 0.8 never differ in practice: 9.7 are expected, with a deviation of 2.9.
 FAR = 26
 
@@ -79,8 +83,8 @@ def _signature_rows(shingle: int):
                     content[some] = np.add.reduceat(K.mix(h), first[:-1][some])
                     keys = band_keys(h, first)
                 at = np.concatenate(([0], np.cumsum(some * BANDS))).astype(np.int32)
-                cols = [batch.column(0).slice(row, end - row), pa.array(content.view(np.int64)), pa.array(fold_bits(h, first).view(np.int64)), pa.array(size.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel().view(np.int64)))], names=["doc_id", "content", "fp", "size", "bands"])
+                cols = [*(batch.column(i).slice(row, end - row) for i in range(2)), pa.array(content.view(np.int64)), pa.array(fold_bits(h, first).view(np.int64)), pa.array(size.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel().view(np.int64)))], names=["id", "th", "content", "fp", "size", "bands"])
 
     return run
 
@@ -91,20 +95,20 @@ def _set_rows(shingle: int):
             for row, end, data, offsets in K.chunks(batch):
                 h, first = _sets(data, offsets, shingle)
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), lists], names=["doc_id", "hashes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), lists], names=["rep", "hashes"])
 
     return run
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    return docs.select(*row_key(), F.col("text").cast("string").alias("text"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets have at least this Jaccard similarity; ``pairs`` is a written table."""
-    counts = materialize(pairs.groupBy("a").agg(F.count("*").alias("n")).join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a"))
+    counts = materialize(pairs.groupBy("a").agg(F.count("*").alias("n")).join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("ha")), "a"))
     left = join_counted(pairs, counts, "a", "b")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb")), "b")
+    both = left.join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("hb")), "b")
     shared = F.size(F.array_intersect("ha", "hb"))
     total = F.size("ha") + F.size("hb") - shared
     found = materialize(both.where(shared >= F.lit(similarity) * total - 1e-9).select("a", "b").distinct())
@@ -132,12 +136,11 @@ def _labelled(members: DataFrame, links: list[DataFrame]) -> DataFrame:
     return materialize(join_counted(members, several, "key", "rep"))
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 3) -> DataFrame:
-    """(doc_id, component_id): documents connected by links of at least ``similarity`` share the least doc_id reachable."""
+def _components(docs: DataFrame, shingle: int, similarity: float, distance: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables: each row's key and set; each set with its part's ``root`` and its least row key as ``first``."""
     texts = _texts(docs)
-    signed = materialize(texts.mapInArrow(_signature_rows(shingle), "doc_id long, content long, fp long, size int, bands array<long>"))
-    same = ["content", "fp", "size"]
-    reps = materialize(signed.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
+    signed = materialize(texts.mapInArrow(_signature_rows(shingle), "id long, th long, content long, fp long, size int, bands array<long>"))
+    reps = materialize(signed.groupBy(*SAME).agg(F.min(F.struct("id", "th")).alias("first"), F.first("bands").alias("bands")).withColumn("rep", F.xxhash64(*SAME)))
     members = materialize(_labelled(reps.select("rep", "fp", "size", F.explode("bands").alias("key")), []).drop("root"))
     # Fingerprints a few bits apart, by deletion variants.
     of_fp = reps.where("size > 0").groupBy("fp").agg(F.min("rep").alias("rep"))
@@ -145,8 +148,11 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, d
     ends = [of_fp.select(F.col("fp").alias(c), F.col("rep").alias(f"rep_{c}")) for c in "ab"]
     first = by_fp.join(ends[0], "a").join(ends[1], "b").select(F.col("rep_b").alias("a"), F.col("rep_a").alias("b")).where("a <> b")
     first = materialize(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ids = members.select(F.col("rep").alias("doc_id")).unionByName(first.select(F.col("a").alias("doc_id"))).unionByName(first.select(F.col("b").alias("doc_id"))).distinct()
-    sets = materialize(texts.join(ids, "doc_id", "left_semi").mapInArrow(_set_rows(shingle), "doc_id long, hashes array<long>"))
+    ids = members.select("rep").unionByName(first.select(F.col("a").alias("rep"))).unionByName(first.select(F.col("b").alias("rep"))).distinct()
+    wanted = reps.join(ids, "rep", "left_semi").select("rep", "first.id", "first.th")
+    # Equal rows fold before the shuffle, so that very many of them don't meet in one task.
+    once = texts.groupBy("id", "th").agg(F.first("text").alias("text")).join(wanted, ["id", "th"]).select("rep", "text")
+    sets = materialize(once.mapInArrow(_set_rows(shingle), "rep long, hashes array<long>"))
     links, tried = [verified(first, sets, similarity)], [first]
     open_ = members.withColumn("root", F.col("rep"))
     for turn in range(PIVOTS + 1):
@@ -169,10 +175,19 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, d
             if open_.isEmpty():
                 break
     found = components(reduce(DataFrame.unionByName, links)).select(F.col("node").alias("rep"), "root")
-    named = reps.select(*same, "rep").join(found, "rep", "left").select(*same, F.coalesce("root", "rep").alias("component_id"))
-    out = materialize(signed.select("doc_id", *same).join(named, same).groupBy("doc_id").agg(F.min("component_id").alias("component_id")))
-    for table in (signed, reps, members, sets, *tried, *links):
+    named = materialize(reps.select(*SAME, "rep", "first").join(found, "rep", "left").select(*SAME, "first", F.coalesce("root", "rep").alias("root")))
+    for table in (reps, members, sets, *tried, *links):
         discard(table)
+    return signed, named
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 3) -> DataFrame:
+    """(doc_id, component_id): documents connected by links of at least ``similarity`` share the least doc_id reachable."""
+    signed, named = _components(docs.where("doc_id is not null"), shingle, similarity, distance)
+    least = named.groupBy("root").agg(F.min("first.id").alias("component_id"))
+    out = materialize(signed.select("id", *SAME).join(named.join(least, "root"), SAME).groupBy(F.col("id").alias("doc_id")).agg(F.min("component_id").alias("component_id")))
+    discard(signed)
+    discard(named)
     return out
 
 
@@ -181,3 +196,14 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, dist
     stay = similar_groups(docs, shingle, similarity, distance).where("doc_id = component_id").select("doc_id")
     kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def one_row_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 3) -> DataFrame:
+    """Of each group of rows one, with all columns: the least by doc_id (null last), then text hash, then further columns."""
+    signed, named = _components(docs, shingle, similarity, distance)
+    stay = materialize(named.groupBy("root").agg(F.min("first").alias("first")).select("first.*"))
+    discard(signed)
+    discard(named)
+    own = docs.select(*row_key(), F.struct("*").alias("row"), others(docs).alias("others"))
+    once = own.groupBy("id", "th").agg(F.min_by("row", "others").alias("row"))
+    return once.join(stay, ["id", "th"], "left_semi").select("row.*")
