@@ -15,8 +15,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     node's larger neighbours, small-star its smaller ones and itself. The rounds
     grow with the logarithm of the longest path. Minima are pre-aggregated
     before each shuffle, and the joins are equality joins that adaptive
-    execution may split where a node has very many neighbours. Self links
-    and repeated links do no harm; no links give no rows.
+    execution may split where a node has very many neighbours. It has settled when every node
+    hangs on one root that hangs on nothing. Self links and repeated links do no harm; no links
+    or an empty table give no rows; links with a null end are left out.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     for _ in range(rounds):
@@ -27,10 +28,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(low, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         after = materialize(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-        same = after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty()
         discard(now)
         now = after
-        if same:
+        # A star forest: each node once as a child, and no child is a parent.
+        seen = now.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if seen.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty():
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -23,3 +23,16 @@ def join_counted(rows: DataFrame, counts: DataFrame, key: str, *place: str) -> D
     salted = rows.join(F.broadcast(hot), key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(*place), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
     repeats = F.when(F.col("n") * HOT_KEYS > total, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))
     return salted.join(counts.withColumn("salt", F.explode(repeats)).drop("n"), [key, "salt"]).drop("salt")
+
+
+#: Most keys that ``matching`` broadcasts: 16 MB of numbers.
+FEW = 1 << 21
+
+
+def matching(rows: DataFrame, keys: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """``rows`` with (or with "left_anti" without) their ``key`` in ``keys``, a written table of distinct numbers.
+
+    The keys are counted; up to ``FEW`` of them are broadcast, so that the rows aren't shuffled, and more are joined
+    by a shuffle. A null key matches nothing; empty keys match nothing; repeated rows are all kept.
+    """
+    return rows.join(F.broadcast(keys) if keys.count() <= FEW else keys, key, how)
