@@ -13,7 +13,7 @@ from tidemark.llm.debruijn_dedup import substring_dedup
 from tidemark.llm.quality import quality
 from tidemark.llm.simhash_dedup import op10_simhash
 from tidemark.llm.suffix_dedup import suffix_dedup
-from tidemark.llm.token_shards import training_order
+from tidemark.llm.token_shards import token_shards
 from tidemark.llm.topk_search import top_k
 from tidemark.llm.toxicity import toxicity
 
@@ -30,7 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": lambda s, d: toxicity(table(s, d, "documents"), table(s, d, "labels")),
         "op5_mixing": lambda s, d: mix(table(s, d, "documents")),
         "op6_language_id": lambda s, d: identify(table(s, d, "documents")),
-        "op7_token_shards": lambda s, d: training_order(table(s, d, "documents")),
+        "op7_token_shards": lambda s, d: token_shards(table(s, d, "documents")),
         "op8_suffix_dedup": lambda s, d: suffix_dedup(table(s, d, "documents")),
         "op9_substring_dedup": lambda s, d: substring_dedup(table(s, d, "documents")),
         "op10_simhash": lambda s, d: op10_simhash(table(s, d, "documents")),

@@ -13,9 +13,11 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a new temporary folder only where it is unset."""
+    """The cluster's spark.checkpoint.dir; where it is unset, a new temporary folder, in local mode alone."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -30,6 +32,11 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove ``path`` when the process ends."""
+    atexit.register(_remove, spark, path)
+
+
 def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder, drop the shuffle files behind it, and read it back.
 
@@ -45,7 +52,7 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    atexit.register(_remove, spark, path)
+    forget_at_exit(spark, path)
     gc.collect()
     return spark.read.schema(df.schema).parquet(path)
 

@@ -4,20 +4,21 @@ Each text is encoded once by a public byte-pair tokenizer and cut into sequences
 ``length`` ids with an end mark after each text; the last one is padded. All sequences
 have a dense number, from sums over documents by id; a keyed Feistel network over
 the next power of four, walked until it lands below their count, sends the number to a
-global slot. A shard is a range of slots, dealt to its partition by number, with no
-sampling, and sorted by slot; a record's place in its shard is its slot times the
-stride, so a reader can seek to any slot and go on from there.
-
-Defined results: null and empty texts give one sequence that holds the end mark only;
-equal rows are kept and numbered one after another; a null id counts as the least; an
-empty table gives no rows; further columns of the input are ignored.
+global slot. A shard is a range of slots; ranges of many shards are dealt to a partition by number,
+with no sampling, and sorted by slot. Each shard is written as one file of bare records; a record's
+place in it is its slot times the stride, so a reader can seek to any slot and go on from there.
+
+Defined results: null and empty texts give one sequence that holds the end mark only; a very long text is
+many sequences of one document; equal rows are kept and numbered one after another, and so tie in nothing
+but their slots; a null id counts as the least; an empty table gives no rows and no files; further columns
+of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +28,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import spans as S
-from tidemark.llm.store import materialize
+from tidemark.llm.store import forget_at_exit, materialize, shared_dir
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published pattern that cuts text before this vocabulary's merges (fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END, LENGTH, PER_SHARD = 50256, 512, 4096
+#: Documents that are numbered in one task, and shards that one task writes at most.
+NUMBERED, SHARDS = 50_000, 32
+RECORD = "slot long, shard int, byte_offset long, doc_id long, seq int, n_tokens int, record binary"
 
 
 def feistel(x: np.ndarray, count: int, key: int, rounds: int = 6) -> np.ndarray:
@@ -57,45 +61,57 @@ def feistel(x: np.ndarray, count: int, key: int, rounds: int = 6) -> np.ndarray:
 
 
 def _token_rows(vocabulary) -> object:
+    """Ids of each text; equal rows of a batch fold to one with their number, ``m``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.value.splitlines())}
         encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         kind = np.uint16 if max(ranks.values(), default=0) < 65535 and END < 65536 else np.uint32
+        width = np.dtype(kind).itemsize
         for batch in batches:
-            text = batch.column(3)
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [np.array([*encode(t), END], kind).tobytes() for t in text.slice(at, 256).to_pylist()]
-                width = np.dtype(kind).itemsize
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([len(i) // width for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["id", "th", "doc_id", "n", "ids"])
+            times: dict[tuple, int] = {}
+            at: list[int] = []
+            for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+                times[row] = times.get(row, 0) + 1
+                if times[row] == 1:
+                    at.append(i)
+            many = list(times.values())
+            for a in range(0, len(at), 256):
+                part = batch.take(pa.array(at[a : a + 256]))
+                ids = [np.array([*encode(t), END], kind).tobytes() for t in part.column(3).to_pylist()]
+                cols = [*(part.column(c) for c in range(3)), pa.array(many[a : a + 256], pa.int64()), pa.array([len(i) // width for i in ids], pa.int64()), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "th", "doc_id", "m", "n", "ids"])
 
     return run
 
 
 def _record_rows(count: int, key: int, length: int, per_shard: int) -> object:
-    names = ["slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens", "record"]
+    names = [f.split()[0] for f in RECORD.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 col = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
-                n, start = col("n").to_numpy(), col("start").to_numpy()
+                n, start, m = (col(c).to_numpy() for c in ("n", "start", "m"))
                 pieces = (n + length - 1) // length
-                row = np.repeat(np.arange(len(n)), pieces)
-                seq = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                slot = feistel(start[row] + seq, count, key)
-                size = np.minimum(n[row] - seq * length, length)
-                raw, records = col("ids").to_pylist(), []
+                raw = col("ids").to_pylist()
                 width = len(raw[0]) // int(n[0]) if len(n) else 2
-                for i, s, m in zip(row.tolist(), seq.tolist(), size.tolist(), strict=True):
-                    body = raw[i][s * length * width : (s * length + m) * width]
-                    records.append(m.to_bytes(4, "little") + body + bytes((length - m) * width))
                 stride = 4 + length * width
-                cols = [pa.array(slot), pa.array((slot // per_shard).astype(np.int32)), pa.array(slot % per_shard * stride), col("doc_id").take(pa.array(row)), pa.array(seq.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(records, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                # Copies in turns, so that a row that stands for very many doesn't become one batch.
+                for turn in range(int(m.max(initial=0))):
+                    row = np.repeat(np.arange(len(n)), np.where(m > turn, pieces, 0))
+                    seq = np.arange(len(row)) - np.repeat(np.cumsum(np.where(m > turn, pieces, 0)) - pieces * (m > turn), np.where(m > turn, pieces, 0))
+                    slot = feistel(start[row] + turn * pieces[row] + seq, count, key)
+                    size = np.minimum(n[row] - seq * length, length)
+                    records = []
+                    for i, s, k in zip(row.tolist(), seq.tolist(), size.tolist(), strict=True):
+                        body = raw[i][s * length * width : (s * length + k) * width]
+                        records.append(k.to_bytes(4, "little") + body + bytes((length - k) * width))
+                    cols = [pa.array(slot), pa.array((slot // per_shard).astype(np.int32)), pa.array(slot % per_shard * stride), col("doc_id").take(pa.array(row)), pa.array(seq.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(records, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
@@ -108,67 +124,89 @@ def training_order(docs: DataFrame, tokenizer: str = TOKENIZER, key: int = 20_24
     spark = docs.sparkSession
     with open(tokenizer, "rb") as f:
         vocabulary = spark.sparkContext.broadcast(f.read())
-    tokens = materialize(S.keyed(docs).withColumn("th", F.hash("text")).mapInArrow(_token_rows(vocabulary), "id long, th int, doc_id long, n long, ids binary"))
-    pieces = F.ceil(F.col("n") / length)
-    own = tokens.groupBy("id", "th").agg(F.sum(pieces).alias("all"), F.max(pieces).alias("each"), F.count("*").alias("rows"))
-    groups = max(16, own.count() // 200_000)
-    by_group = own.withColumn("g", F.pmod(F.xxhash64("id", "th"), F.lit(groups)).cast("int"))
-    inner = by_group.withColumn("inner", F.sum("all").over(W.partitionBy("g").orderBy("id", "th").rowsBetween(W.unboundedPreceding, -1)))
-    totals = by_group.groupBy("g").agg(F.sum("all").alias("words"))
-    outer = totals.select("g", F.sum("words").over(W.partitionBy(F.lit(0)).orderBy("g").rowsBetween(W.unboundedPreceding, -1)).alias("outer"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    starts = materialize(inner.join(outer, "g").select("id", "th", (zero("inner") + zero("outer")).alias("base"), "each"))
-    count = int(totals.agg(F.sum("words")).collect()[0][0] or 0)
+    groups = max(16, docs.count() // NUMBERED)
+    tokens = S.keyed(docs).mapInArrow(_token_rows(vocabulary), "id long, th long, doc_id long, m long, n long, ids binary")
+    # Groups of ids are numbered each in its order; the ids are shuffled once for that, and the records once to their shards.
+    pieces = F.col("m") * F.ceil(F.col("n") / length)
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    grouped = tokens.withColumn("g", F.pmod(F.xxhash64("id", "th"), F.lit(groups)).cast("int"))
+    numbered = materialize(grouped.withColumn("inner", before(pieces, W.partitionBy("g").orderBy("id", "th", "n", "m"))).select("g", "doc_id", "m", "n", "inner", "ids"))
+    totals = materialize(numbered.groupBy("g").agg(F.sum(pieces).alias("sequences")))
+    outer = totals.select("g", before("sequences", W.partitionBy(F.lit(0)).orderBy("g")).alias("outer"))  # a row for NUMBERED documents
+    count = int(totals.agg(F.sum("sequences")).collect()[0][0] or 0)
     if not count:
-        return spark.createDataFrame([], "slot long, shard int, byte_offset long, doc_id long, seq int, n_tokens int, record binary")
-    # Equal ids and text hashes stand one after another; those with one size are equal rows.
-    nth = F.coalesce(F.sum(pieces).over(W.partitionBy("id", "th").orderBy("n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = tokens.join(starts, ["id", "th"]).withColumn("start", F.col("base") + nth).select("doc_id", "n", "start", "ids")
-    records = placed.mapInArrow(_record_rows(count, key, length, per_shard), "slot long, shard int, byte_offset long, doc_id long, seq int, n_tokens int, record binary")
+        return spark.createDataFrame([], RECORD)
+    placed = numbered.join(F.broadcast(outer), "g").select("doc_id", "m", "n", (F.col("inner") + F.col("outer")).alias("start"), "ids")
+    records = placed.mapInArrow(_record_rows(count, key, length, per_shard), RECORD)
     shards = -(-count // per_shard)
-    return records.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
+    each = max(1, min(SHARDS, shards // (4 * spark.sparkContext.defaultParallelism)))
+    return records.repartitionById(-(-shards // each), F.floor(F.col("shard") / each).cast("int")).sortWithinPartitions("slot")
 
 
-def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
-    """Write each shard of ``training_order`` as a file of bare records; (shard, path, n, sha256) as they are done.
+def written(ordered: DataFrame, folder: str) -> DataFrame:
+    """Write each shard of ``training_order`` as a file of bare records; its rows, with path and sha256 of their file.
 
-    A task writes under a name of its own and renames, so a repeated task leaves the same file.
+    A task writes under a name of its own and renames, so a repeated or a second attempt leaves the same file.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
+        from pyspark import TaskContext
 
+        task = TaskContext.get()
+        own = f"{task.stageId()}-{task.partitionId()}-{task.taskAttemptId()}"
         where, base = fs.FileSystem.from_uri(folder)
         where.create_dir(base, recursive=True)
-        now, out, digest, n = None, None, None, 0
+        now, held = None, []
 
         def close():
-            out.close()
-            path = f"{base}/shard-{now:06d}.bin"
-            where.move(f"{path}.{os.getpid()}", path)
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([path]), pa.array([n], pa.int64()), pa.array([digest.hexdigest()])], names=["shard", "path", "n", "sha256"])
+            whole = pa.Table.from_batches(held)
+            path, digest = f"{base}/shard-{now:06d}.bin", hashlib.sha256()
+            with where.open_output_stream(f"{path}.{own}") as out:
+                for part in whole.column("record").chunks:
+                    raw = b"".join(part.to_pylist())
+                    out.write(raw)
+                    digest.update(raw)
+            where.move(f"{path}.{own}", path)
+            for batch in held:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([path] * len(batch)), pa.array([digest.hexdigest()] * len(batch))], names=[*batch.schema.names, "path", "sha256"])
 
         for batch in batches:
-            for shard, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if shard != now:
-                    if now is not None:
-                        yield close()
-                    now, digest, n = shard, hashlib.sha256(), 0
-                    out = where.open_output_stream(f"{base}/shard-{now:06d}.bin.{os.getpid()}")
-                out.write(record)
-                digest.update(record)
-                n += 1
-        if now is not None:
-            yield close()
+            shard = batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b > a:
+                    if now is not None and shard[a] != now:
+                        yield from close()
+                        held = []
+                    now = int(shard[a])
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield from close()
 
-    return ordered.select("shard", "record").mapInArrow(run, "shard int, path string, n long, sha256 string")
+    return ordered.mapInArrow(run, RECORD + ", path string, sha256 string")
+
+
+def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
+    """The manifest of ``written``: shard, path, n, sha256; one row for each file; empty for an empty table."""
+    return written(ordered, folder).groupBy("shard").agg(F.first("path").alias("path"), F.count("*").alias("n"), F.first("sha256").alias("sha256"))
+
+
+def token_shards(docs: DataFrame) -> DataFrame:
+    """The rows of ``written``, its files in the shared folder until the process ends."""
+    folder = f"{shared_dir(docs.sparkSession)}/tidemark-shards-{uuid.uuid4().hex}"
+    forget_at_exit(docs.sparkSession, folder)
+    return written(training_order(docs), folder)
 
 
 def read_sequences(path: str, first: int, count: int, length: int = LENGTH, width: int = 2) -> list[np.ndarray]:
-    """Ids of ``count`` records of a shard file from record ``first`` on: one seek, one read."""
+    """Ids of ``count`` records of a shard file (a path or URI) from record ``first`` on: one seek, one read; none beyond its end."""
+    from pyarrow import fs
+
     stride = 4 + length * width
-    with open(path, "rb") as f:
-        f.seek(first * stride)
-        raw = f.read(count * stride)
+    where, name = fs.FileSystem.from_uri(path)
+    with where.open_input_file(name) as f:
+        size = f.size()
+        raw = f.read_at(max(0, min(count * stride, size - first * stride)), min(first * stride, size))
     cut = [raw[i : i + stride] for i in range(0, len(raw), stride)]
     return [np.frombuffer(r, np.uint16 if width == 2 else np.uint32, int.from_bytes(r[:4], "little"), 4) for r in cut]
