@@ -7,13 +7,15 @@ window of the item (13 words, or the whole of a shorter item) agrees with the do
 in at least 80 % of its places, word against word on one diagonal. The masks
 are chosen so that every such window holds a seed: no overlap of this kind is lost.
 
-A Bloom filter of the item seeds, of fixed size, spares the shuffle almost all seeds of
-the documents; it only ever lets too many through, which the join then drops.
+A Bloom filter of the item seeds, sized by their number up to 8 MB, spares the shuffle almost all seeds of
+the documents; it only ever lets too many through, which the join then drops. Seeds that very many
+documents hold are dealt over salts.
 
 Words are runs of ASCII letters, digits and all other non-ASCII bytes, in lower case.
 Defined results: only documents with an overlap are returned; null and empty texts
-have none, items without words neither; rows with equal doc_id count as one document;
-an item of under six words must agree whole; empty tables give no rows; further
+have none, items without words neither; rows with equal doc_id, or with a null one, count as one document,
+items likewise; repeated rows give the same result as one; a very long text is searched whole; ties don't
+arise, as spans are unions; an item of under six words must agree whole; empty tables give no rows; further
 columns of either input are ignored.
 """
 
@@ -29,8 +31,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
 from tidemark.llm.rows import row_hash
+from tidemark.llm.skew import join_salted, matching
+from tidemark.llm.store import materialize
 
-WINDOW, BLOOM_BITS, SIDE = 13, 24, 13
+WINDOW, SIDE = 13, 13
+#: The filter's size as a power of two: at least, and at most (2 ** 26 bits are 8 MB).
+BLOOM_LEAST, BLOOM_MOST = 20, 26
 
 
 def allowed(n: int) -> int:
@@ -80,20 +86,22 @@ def _rows(masks_of, bloom) -> object:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bloom.value if bloom is not None else None
+        size = (len(bits) * 8).bit_length() - 1 if bits is not None else 0
+        low = np.uint64((1 << size) - 1)
+        held = lambda p: bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8) & 1 > 0
         for batch in batches:
             ids = batch.column(0)
             for row, _, data, offsets in K.chunks(batch):
-                low = K.LOWER[data]
-                starts, ends, first = K.words(low, offsets, punctuation=True)
-                h = K.span_hash(K.prefix(low), starts, ends)
+                lower = K.LOWER[data]
+                starts, ends, first = K.words(lower, offsets, punctuation=True)
+                h = K.span_hash(K.prefix(lower), starts, ends)
                 sizes = np.diff(first)
                 for n, masks in masks_of(sizes):
                     for mask in masks:
                         seed = _seeds(h, mask)
                         if bits is not None:
-                            low24 = np.uint64((1 << BLOOM_BITS) - 1)
-                            at = np.flatnonzero(bits[(seed & low24).astype(np.int64)])
-                            at = at[bits[((seed[at] >> np.uint64(BLOOM_BITS)) & low24).astype(np.int64)]]
+                            at = np.flatnonzero(held(seed & low))
+                            at = at[held(seed[at] >> np.uint64(size) & low)]
                         else:
                             at = np.arange(len(seed))
                         doc = np.searchsorted(first, at, "right") - 1
@@ -137,19 +145,21 @@ def _spans(text: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = "seed long, id long, at int, n int, words binary"
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     own = lambda sizes: [(n, masks[n]) for n in np.unique(np.minimum(sizes, WINDOW)).tolist() if n]
-    seeds = items.mapInArrow(_rows(own, None), schema).select("seed", F.col("id").alias("item_id"), F.col("at").alias("item_at"), "n", F.col("words").alias("item_words")).where("item_id is not null")
-    # The filter's words, at most 2 ** 19 of them however many items there are, and the item sizes present.
-    low = F.lit((1 << BLOOM_BITS) - 1)
-    places = F.array(F.col("seed").bitwiseAND(low), F.shiftrightunsigned("seed", BLOOM_BITS).bitwiseAND(low))
+    seeds = items.mapInArrow(_rows(own, None), schema).select("seed", F.col("id").alias("item_id"), F.col("at").alias("item_at"), "n", F.col("words").alias("item_words"))
+    seeds = materialize(seeds)
+    # Sixteen bits for each seed, and the item sizes present. The filter's words are the only rows that the driver takes.
+    size = min(BLOOM_MOST, max(BLOOM_LEAST, (16 * seeds.count()).bit_length()))
+    low = F.lit((1 << size) - 1)
+    places = F.array(F.col("seed").bitwiseAND(low), F.shiftrightunsigned("seed", size).bitwiseAND(low))
     marked = seeds.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 5).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 31 as int)))").alias("bits"))
     got = marked.toPandas()
-    packed = np.zeros(1 << (BLOOM_BITS - 5), "<u4")
+    packed = np.zeros(1 << (size - 5), "<u4")
     packed[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint32)
-    bloom = spark.sparkContext.broadcast(np.unpackbits(packed.view(np.uint8), bitorder="little").astype(bool))
+    bloom = spark.sparkContext.broadcast(packed.view(np.uint8))
     sizes = sorted(r.n for r in seeds.select("n").distinct().collect())  # 13 at most
     present = [(n, masks[n]) for n in sizes]
-    found = text.mapInArrow(_rows(lambda _: present, bloom), schema)
-    hits = found.join(seeds, ["seed", "n"]).select("id", "at", "n", "words", "item_id", "item_words")
+    found = materialize(text.mapInArrow(_rows(lambda _: present, bloom), schema))
+    hits = join_salted(found, seeds, ["seed", "n"], "id", "at").select("id", "at", "n", "words", "item_id", "item_words")
     return hits.mapInArrow(_verify, "doc_id long, item_id long, first_word int, end_word int, matched int")
 
 
@@ -160,6 +170,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows without an overlap, with all their columns. Rows are known by a 64-bit hash of doc_id and text."""
-    dirty = _spans(docs.select(row_hash().alias("id"), F.col("text").cast("string").alias("text")), benchmark).select(F.col("doc_id").alias("key")).distinct()
-    return docs.select(row_hash().alias("key"), F.struct("*").alias("row")).join(dirty, "key", "left_anti").select("row.*")
+    """The rows without an overlap, with all their columns. Rows are known by a 64-bit hash of doc_id and text.
+
+    Null and repeated ids are decided by row; rows equal in both go or stay together; an empty benchmark leaves all.
+    """
+    dirty = _spans(docs.select(row_hash().alias("id"), F.col("text").cast("string").alias("text")), benchmark)
+    dirty = materialize(dirty.select(F.col("doc_id").alias("key")).distinct())
+    return matching(docs.select(row_hash().alias("key"), F.struct("*").alias("row")), dirty, "key", "left_anti").select("row.*")

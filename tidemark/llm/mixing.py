@@ -10,9 +10,12 @@ source has no more than it has different sizes. Rates then become whole copies f
 each size, rounded along the sizes so that errors cancel, and the words
 still missing or in excess are settled by a few single moves, each of the size nearest to them.
 
-Defined results: a null or empty text has size 0, takes no words and no part; a null
-source is a source of its own and the last; repeated rows count each; an empty table
-gives no rows; further columns of the input are ignored.
+Defined results: a null or empty text has size 0, takes no words and no part; a very long text is a size like any
+other; a null source is a source of its own and the last; repeated rows count each; documents of one source and size
+tie, and a hash of doc_id and text tells which of them take one copy more; an empty table
+gives no rows; further columns of the input are ignored, or in ``mixed`` kept. A tilt that doesn't settle raises.
+The single moves end when none brings a source nearer to its target, or after a fixed number: what is then
+left is less than the largest size.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.rows import others, row_hash
-from tidemark.llm.store import discard, materialize
+from tidemark.llm.store import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sub-groups of documents with one source and size, so that no task orders them all.
@@ -74,10 +77,11 @@ def tilt(cells: DataFrame, cap: float = 3.0) -> DataFrame:
             step = F.when(F.col("slope") > 0, F.col("lam") - (F.col("got") - F.col("target")) / F.greatest("slope", F.lit(1e-300)))
             inside = step.isNotNull() & (step > F.col("lo")) & (step < F.col("hi"))
             now = now.withColumn("lam", F.when(F.col("done"), F.col("lam")).when(inside, step).otherwise((F.col("lo") + F.col("hi")) / 2)).drop("got", "slope")
-        before, now = now, materialize(now)
-        if now.where(~F.col("done") & (F.col("hi") - F.col("lo") > 1e-15)).isEmpty():
+        now = materialize(now)
+        if now.where(~F.col("done") & (F.col("hi") - F.col("lo") > F.greatest(F.lit(1.0), F.abs("lam")) * 1e-14)).isEmpty():
             break
-        del before
+    else:
+        raise RuntimeError(f"the tilt did not settle in {ROUNDS * STEPS} steps")
     power = F.col("lam") * x
     return now.select("key", "size", "n", "source_size", "target", F.when(power >= top, F.lit(cap)).otherwise(F.exp(F.least(power, top))).alias("rate"))
 
@@ -105,6 +109,7 @@ def copies(cells: DataFrame, cap: int = 3) -> DataFrame:
 def _placed(docs: DataFrame, cap: int, order: Column, *carry: Column) -> DataFrame:
     """Every row of ``sizes`` with its own ``copies``; rows equal in doc_id and text go by ``order``."""
     rows = sizes(docs, order.alias("order"), *carry)
+    rows = rows if carry else materialize(rows)  # numbers alone: the texts are read once
     fine = materialize(rows.groupBy("key", "size", "salt").agg(F.count("*").alias("n")))
     goals = materialize(targets(fine, cap))
     cells = fine.where("size > 0").groupBy("key", "size").agg(F.sum("n").alias("n")).join(goals, "key")

@@ -10,9 +10,9 @@ parts, never all its pairs.
 
 Defined results: a null text counts as empty; a text without words has
 fingerprint zero, which links like any other; fewer words than a shingle make one
-shingle of them all; repeated rows stay as they are; a null doc_id keeps its row
-but is never a component's name; an empty table gives no rows; further columns of
-the input are ignored.
+shingle of them all; a very long text is one set of shingles like any other; repeated rows stay as they are and
+take one component; a null doc_id keeps its row but is never a component's name (a component of null ids alone
+has none); ties don't arise; an empty table gives no rows; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
 from tidemark.llm.components import components
+from tidemark.llm.skew import join_counted
 from tidemark.llm.store import materialize
 
 _BYTES = np.uint64(0x0101010101010101)
@@ -147,18 +148,25 @@ def _link_rows(distance: int):
         return np.concatenate(a), np.concatenate(b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fp = np.empty(0, np.int64), np.empty(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def close() -> pa.RecordBatch:
+            key, fp = (np.concatenate(c) for c in zip(*held, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in links(key, fp)], names=["a", "b"])
+
         for batch in batches:
-            key = np.concatenate((key, batch.column(0).to_numpy()))
-            fp = np.concatenate((fp, batch.column(1).to_numpy()))
-            if not len(key):
+            if not batch.num_rows:
+                continue
+            key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if held and key[-1] == held[-1][0][-1]:
+                held.append((key, fp))  # one group goes on through the whole batch
                 continue
             done = int(np.searchsorted(key, key[-1]))  # the last group may go on in the next batch
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in links(key[:done], fp[:done])], names=["a", "b"])
-                key, fp = key[done:], fp[done:]
-        if len(key):
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in links(key, fp)], names=["a", "b"])
+            held.append((key[:done], fp[:done]))
+            yield close()
+            held = [(key[done:], fp[done:])]
+        if held:
+            yield close()
 
     return run
 
@@ -180,12 +188,12 @@ def fingerprint_links(prints: DataFrame, distance: int = 2) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
     """(doc_id, fp, component_id): documents whose fingerprints connect share the least doc_id reachable."""
     prints = materialize(fingerprints(docs, shingle))
-    reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     found = components(fingerprint_links(reps.select("fp"), distance))
     joined = reps.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = joined.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = materialize(joined.join(least, "root").select("fp", "component_id", "n"))
+    return join_counted(prints, named, "fp", "doc_id").select("doc_id", "fp", "component_id")
 
 
 def op10_simhash(docs: DataFrame) -> DataFrame:

@@ -25,6 +25,21 @@ def join_counted(rows: DataFrame, counts: DataFrame, key: str, *place: str) -> D
     return salted.join(counts.withColumn("salt", F.explode(repeats)).drop("n"), [key, "salt"]).drop("salt")
 
 
+def join_salted(rows: DataFrame, others: DataFrame, keys: list[str], *place: str) -> DataFrame:
+    """Join ``rows`` (a written table) with ``others``, which may also have many rows for each of the ``keys``.
+
+    Keys with more than one in ``HOT_KEYS`` of ``rows`` are dealt over salts by a hash of ``place``, and their ``others``
+    are repeated for each salt. A null key joins nothing; empty tables give no rows; equal rows are all kept.
+    """
+    total = rows.count()
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("own")).where(F.col("own") * HOT_KEYS > total)
+    hot = counts.select(*keys, F.ceil(F.col("own") * HOT_KEYS / max(total, 1)).cast("int").alias("salts"))
+    deal = F.coalesce(F.pmod(F.xxhash64(*place), F.col("salts")).cast("int"), F.lit(0))
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn("salt", deal).drop("salts")
+    right = others.join(F.broadcast(hot), keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1))).drop("salts")
+    return left.join(right, [*keys, "salt"]).drop("salt")
+
+
 #: Most keys that ``matching`` broadcasts: 16 MB of numbers.
 FEW = 1 << 21
 
