@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read
 again as the next one's docs. All but the last return the columns of documents.
+
+Rows are decided on one by one, whatever their doc_id: nulls and repeats take part. Null and empty
+texts go in the first stage, which rejects whatever has no letter; very long texts are processed whole;
+an empty table gives no rows in any stage; further columns are kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from tidemark.llm.language_id import identify
 from tidemark.llm.mixing import mixed
 from tidemark.llm.similar import one_row_of_each
 from tidemark.llm.store import materialize
-from tidemark.llm.token_shards import training_order
+from tidemark.llm.token_shards import token_shards
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,11 +41,17 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fixed-stride token records in their global training order."""
-    return training_order(docs)
+    """Fixed-stride token records in their global training order, and the files that hold them."""
+    return token_shards(docs)
 
 
-STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("token_ids", token_ids)]
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("token_ids", token_ids),
+]
 
 #: SQL can express neither the fitted models nor the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
