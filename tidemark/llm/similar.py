@@ -41,8 +41,10 @@ from tidemark.llm.store import discard, materialize
 
 #: Rounds that compare each group's members with one pivot before parts are compared across.
 PIVOTS = 1
-#: Slices of the shingles, one after another, so that their shuffle takes half the disk.
-SLICES = 2
+#: Slices of the shingles, one after another, so that their shuffle and its counts take less disk and memory.
+SLICES = 3
+#: Bytes of text that one kernel call works on.
+CHUNK = 1 << 20
 #: What equal sets share.
 SAME = ["content", "fp", "size"]
 #: Comparisons of one salt of a hot group across its parts.
@@ -70,7 +72,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[n
 def _signature_rows(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, data, offsets in K.chunks(batch):
+            for row, end, data, offsets in K.chunks(batch, limit=CHUNK):
                 h, first = shingle_sets(data, offsets, shingle)
                 size = np.diff(first)
                 content = np.zeros(len(size), np.uint64)
@@ -87,7 +89,7 @@ def _set_rows(shingle: int, part: int, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, data, offsets in K.chunks(batch):
+            for row, end, data, offsets in K.chunks(batch, limit=CHUNK):
                 h, first = shingle_sets(data, offsets, shingle)
                 if parts > 1:
                     own = h % np.uint64(parts) == part
