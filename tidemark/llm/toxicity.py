@@ -4,15 +4,19 @@ Labels mark documents; the token labels to learn from are derived from them: a t
 labelled toxic in a toxic document if its word, or a prefix of it, occurs in enough
 labelled documents and in hardly any but toxic ones. The field has two states; a
 token's evidence sums hashed weights of its word and of its prefixes and last bytes, and
-transition scores link neighbours in runs of up to 64 tokens, which together
-cover the whole text. Forward-backward marginals give each token's probability. A
-document's score is a logistic of its largest marginal log odds and of the
-expected number of toxic tokens, fitted on the same labelled sample; tokens above one
-half are returned as byte spans.
-
-Defined results: null and empty texts score as texts without toxic evidence; without
-labelled rows of both kinds every score is 0; repeated rows and further columns do no
-harm.
+transition scores link neighbours along the whole document. Forward-backward marginals of
+tokens and of neighbouring pairs give the gradient of the conditional likelihood; a long
+chain is worked on in blocks that hand their messages over. A document's score is a logistic of its
+largest marginal log odds and of the expected number of toxic tokens, fitted on the
+same labelled sample; tokens above one half are returned as byte spans.
+
+Training reads about ``SAMPLE`` labelled documents, whole. A hash of the text deals them to ``SHARDS``
+shards, each of which is learnt from in order of that hash; after each pass the weights are mixed. So
+neither the rows' order nor their partitions change a score.
+
+Defined results: null and empty texts score as texts without toxic evidence; a very long text is one chain; without
+labelled rows of both kinds every score is 0; repeated rows get equal scores, and in the sample count each; ties
+between equal texts don't matter; an empty table gives no rows; further columns do no harm, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
@@ -29,10 +33,15 @@ from tidemark.llm.labelled import training_rows
 from tidemark.llm.language_id import held_out
 from tidemark.llm.store import materialize
 
+#: Bits of a feature's index; tokens of a block of a chain.
 BITS, RUN = 19, 64
+#: Entries of one slice of a table or of the weights.
+SLICE = 1 << 14
 #: Labelled documents to learn from, at most about this many.
 SAMPLE = 16_000
 PREFIXES = (3, 4, 5, 6)
+#: Parts of the sample that are learnt from side by side, passes over it, and documents and tokens of one step.
+SHARDS, PASSES, STEP_DOCS, STEP_TOKENS = 8, 4, 64, 1 << 16
 
 
 def evidence(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -46,44 +55,91 @@ def evidence(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, first, index.astype(np.int32)
 
 
-def _blocks(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and sizes of the runs that cut each row's tokens."""
-    n = np.diff(first)
-    pieces = (n + RUN - 1) // RUN
-    nth = K.take_ranges(np.zeros(len(n), np.int64), pieces)
-    start = np.repeat(first[:-1], pieces) + RUN * nth
-    return start, np.minimum(np.repeat(first[1:], pieces) - start, RUN)
+def _blocks(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, sizes, first): the blocks of each chain; those of chain i are first[i] to first[i + 1]."""
+    pieces = (size + RUN - 1) // RUN
+    nth = K.take_ranges(np.zeros(len(size), np.int64), pieces)
+    begin = np.repeat(start, pieces) + RUN * nth
+    return begin, np.minimum(np.repeat(start + size, pieces) - begin, RUN), np.concatenate(([0], np.cumsum(pieces)))
+
+
+def _handed(product: np.ndarray, first: np.ndarray, forward: bool) -> np.ndarray:
+    """The ratio of messages that enters each block, from the products of the blocks before (or after) it in its chain."""
+    out = np.zeros(len(product)) if forward else np.ones(len(product))
+    count = np.diff(first)
+    order = np.argsort(-count, kind="stable")
+    at, count = (first[:-1] if forward else first[1:] - 1)[order], count[order]
+    now = out[at[count > 0]].copy()
+    for step in range(1, int(count.max(initial=0))):
+        m = int(np.searchsorted(-count, -step, "left"))  # chains with more than ``step`` blocks
+        done = at[:m] + (step - 1 if forward else 1 - step)
+        p, r = product[done], now[:m]
+        now = (p[:, 0, 1] + r * p[:, 1, 1]) / (p[:, 0, 0] + r * p[:, 1, 0]) if forward else (p[:, 1, 0] + p[:, 1, 1] * r) / (p[:, 0, 0] + p[:, 0, 1] * r)
+        now = np.clip(now, 1e-15, 1e15)
+        out[done + (1 if forward else -1)] = now
+    return out
 
 
-def marginals(score: np.ndarray, start: np.ndarray, size: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """Log odds of the toxic state at each token. ``move[a, b]``: transition factor from state a to b."""
-    out = np.empty(len(score))
-    if not len(score):
-        return out
-    order = np.argsort(-size, kind="stable")
-    start, size = start[order], size[order]
+def messages(score: np.ndarray, start: np.ndarray, size: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(evidence, forward, backward) ratios of the toxic state at each token of the chains.
+
+    ``move[a, b]``: transition factor from state a to b. A chain enters from the clean state.
+    """
     e = np.exp(np.clip(score, -30, 30))
     fore, back = np.empty(len(score)), np.empty(len(score))
-    ratio = np.zeros(len(start))
-    alive = np.searchsorted(-size, -np.arange(RUN), "left")  # runs with more than t tokens
-    for t in range(int(size[0])):
+    start, size, first = _blocks(start, size)
+    if not len(start):
+        return e, fore, back
+    order = np.argsort(-size, kind="stable")
+    begin, alive = start[order], np.searchsorted(-size[order], -np.arange(RUN), "left")  # blocks with more than t tokens
+    longest = int(size.max())
+    product = np.empty((len(start), 2, 2))
+    if (np.diff(first) > 1).any():
+        whole = np.tile(np.eye(2), (len(start), 1, 1))
+        for t in range(longest):
+            m = alive[t]
+            step = whole[:m] @ move
+            step[:, :, 1] *= e[begin[:m] + t][:, None]
+            whole[:m] = step / step.max(axis=(1, 2), keepdims=True)
+        product[order] = whole
+    enter, leave = _handed(product, first, True)[order], _handed(product, first, False)[order]
+    for t in range(longest):
         m = alive[t]
-        at = start[:m] + t
-        ratio = e[at] * (move[0, 1] + ratio[:m] * move[1, 1]) / (move[0, 0] + ratio[:m] * move[1, 0])
-        ratio = np.clip(ratio, 1e-15, 1e15)
-        fore[at] = ratio
-    held = np.empty(0)
-    for t in range(int(size[0]) - 1, -1, -1):
+        at, r = begin[:m] + t, enter[:m]
+        enter[:m] = np.clip(e[at] * (move[0, 1] + r * move[1, 1]) / (move[0, 0] + r * move[1, 0]), 1e-15, 1e15)
+        fore[at] = enter[:m]
+    for t in range(longest - 1, -1, -1):
         m = alive[t]
-        now = np.ones(m)
-        if len(held):
-            now[: len(held)] = (move[1, 0] + move[1, 1] * held) / (move[0, 0] + move[0, 1] * held)
-        at = start[:m] + t
-        back[at] = now
-        held = np.clip(e[at] * now, 1e-15, 1e15)
+        at = begin[:m] + t
+        back[at] = leave[:m]
+        r = np.clip(e[at] * leave[:m], 1e-15, 1e15)
+        leave[:m] = (move[1, 0] + move[1, 1] * r) / (move[0, 0] + move[0, 1] * r)
+    return e, fore, back
+
+
+def marginals(score: np.ndarray, start: np.ndarray, size: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Log odds of the toxic state at each token."""
+    _, fore, back = messages(score, start, size, move)
     return np.log(fore) + np.log(back)
 
 
+def gradient(score: np.ndarray, tags: np.ndarray, start: np.ndarray, size: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the negative log likelihood: by each token's score, and by the scores of clean to toxic and toxic to toxic."""
+    move = _move(transition)
+    e, fore, back = messages(score, start, size, move)
+    p = fore * back / (1 + fore * back)
+    before, held = np.zeros(len(score)), np.zeros(len(score))  # the forward ratio and the tag of the token before
+    inner = np.ones(len(score), bool)
+    inner[start[size > 0]] = False
+    at = np.flatnonzero(inner)
+    before[at], held[at] = fore[at - 1], tags[at - 1]
+    # An edge's marginal: forward, transition, evidence and backward, over their sum for all four pairs of states.
+    on = e * back
+    f01, f11 = move[0, 1] * on, before * move[1, 1] * on
+    total = move[0, 0] + before * move[1, 0] + f01 + f11
+    return p - tags, np.array([(f01 / total - (1 - held) * tags).sum(), (f11 / total - held * tags).sum()])
+
+
 def _move(transition: np.ndarray) -> np.ndarray:
     return np.exp(np.array([[0.0, transition[0]], [0.0, transition[1]]]))
 
@@ -100,9 +156,8 @@ def _seen_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kind = label[row + (pairs >> BITS)]
             for y in (0, 1):
                 table[y] += np.bincount(pairs[kind == y] & (1 << BITS) - 1, minlength=1 << BITS)
-    cut = 1 << 14
     flat = table.ravel()
-    parts = [flat[i : i + cut].astype(np.int32).tobytes() for i in range(0, len(flat), cut)]
+    parts = [flat[i : i + SLICE].astype(np.int32).tobytes() for i in range(0, len(flat), SLICE)]
     yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
 
 
@@ -111,95 +166,107 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def _example_rows(marks) -> object:
-    """Runs to train on: all that hold a labelled token, and a few from each document; fixed-size rows."""
+def _learn_rows(marks, state) -> object:
+    """One pass over each shard's documents, in their order, from the state that all start with: its change, in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic = marks.value
+        learner, shard = None, None
         for batch in batches:
+            own = batch.column(0).to_numpy()
             label = batch.column(batch.schema.get_field_index("label")).to_numpy() > 0
-            for row, _, data, offsets in K.chunks(batch):
+            for row, end, data, offsets in K.chunks(batch):
                 _, _, first, index = evidence(data, offsets)
-                doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                y = toxic[index[:, :5]].any(axis=1) & label[row + doc]
-                start, size = _blocks(first)
-                if not len(start):
-                    continue
-                holds = np.add.reduceat(y, start) > 0
-                nth = np.concatenate(([True], np.diff(doc[start]) != 0))
-                spare = (K.mix(start.astype(np.uint64) * np.uint64(77) + np.uint64(len(data))) & np.uint64(7)) == 0
-                keep = np.flatnonzero(holds | nth | spare)
-                # A bound for each document: at most 4 runs with toxic tokens and 2 others are worth their memory.
-                kind = doc[start[keep]] * 2 + holds[keep]
-                rank = _rank(kind)
-                keep = keep[rank < np.where(holds[keep], 4, 2)]
-                idx = [index[a : a + n].tobytes() for a, n in zip(start[keep].tolist(), size[keep].tolist(), strict=True)]
-                ys = [y[a : a + n].tobytes() for a, n in zip(start[keep].tolist(), size[keep].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(idx, pa.binary()), pa.array(ys, pa.binary())], names=["index", "tags"])
+                tags = toxic[index[:, :5]].any(axis=1) & np.repeat(label[row:end], np.diff(first))
+                for i in range(end - row):
+                    if shard != own[row + i]:
+                        if learner:
+                            yield learner.change(shard)
+                        learner, shard = Learner(*state.value), int(own[row + i])
+                    learner.add(index[first[i] : first[i + 1]], tags[first[i] : first[i + 1]])
+        if learner:
+            yield learner.change(shard)
 
     return run
 
 
-def _rank(kind: np.ndarray) -> np.ndarray:
-    """Of each entry its number, from 0, among equal entries."""
-    order = np.argsort(kind, kind="stable")
-    new = np.ones(len(kind), bool)
-    new[1:] = np.diff(kind[order]) != 0
-    at = np.arange(len(kind))
-    out = np.empty(len(kind), np.int64)
-    out[order] = at - np.maximum.accumulate(np.where(new, at, 0))
-    return out
-
-
-def train(index: list[np.ndarray], tags: list[np.ndarray], passes: int = 6, block: int = 256, rate: float = 0.5, l2: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and transition scores by AdaGrad on the conditional log likelihood."""
-    w, grown = np.zeros(1 << BITS), np.full(1 << BITS, 1e-3)
-    bias, move, grown_m = -4.0, np.zeros(2), np.full(3, 1e-3)
-    order = np.random.default_rng(7).permutation(len(index))
-    for _ in range(passes):
-        for a in range(0, len(order), block):
-            own = order[a : a + block]
-            size = np.array([len(tags[i]) for i in own])
-            start = np.concatenate(([0], np.cumsum(size)[:-1]))
-            x, y = np.concatenate([index[i] for i in own]), np.concatenate([tags[i] for i in own]).astype(float)
-            u = w[x].sum(axis=1) + bias
-            factor = _move(move)
-            p = 1 / (1 + np.exp(-np.clip(marginals(u, start, size, factor), -35, 35)))
-            g = (p - y) / len(own)
-            inner = np.ones(len(y), bool)
-            inner[start] = False
-            at = np.flatnonzero(inner)
-            # Pair expectations, with the neighbours' dependence left to the next step's marginals.
-            g01 = ((1 - p[at - 1]) * p[at] - (1 - y[at - 1]) * y[at]).sum() / len(own)
-            g11 = (p[at - 1] * p[at] - y[at - 1] * y[at]).sum() / len(own)
-            for j in range(x.shape[1]):
-                step = np.bincount(x[:, j], weights=g, minlength=1 << BITS)
-                hit = np.flatnonzero(step)
-                grown[hit] += step[hit] ** 2
-                w[hit] -= rate * (step[hit] / np.sqrt(grown[hit]) + l2 * w[hit])
-            gm = np.array([g.sum(), g01, g11])
-            grown_m += gm**2
-            shift = 0.2 * gm / np.sqrt(grown_m)
-            bias -= shift[0]
-            move = np.clip(move - shift[1:], -3, 3)
-    return w, np.append(move, bias)
-
-
-def _train_rows(table: pa.Table) -> pa.Table:
-    rows = sorted(zip(table.column("index").to_pylist(), table.column("tags").to_pylist(), strict=True))
-    width = len(PREFIXES) + 2
-    w, rest = train([np.frombuffer(r[0], np.int32).reshape(-1, width) for r in rows], [np.frombuffer(r[1], bool) for r in rows])
-    return pa.table({"weights": pa.array([w.astype(np.float32).tobytes()], pa.binary()), "rest": pa.array([rest.tobytes()], pa.binary())})
+class Learner:
+    """AdaGrad on the conditional log likelihood, a step for each ``STEP_DOCS`` documents or ``STEP_TOKENS`` tokens."""
+
+    def __init__(self, w: np.ndarray, rest: np.ndarray, rate: float = 0.5, l2: float = 1e-5):
+        self.base, self.base_rest, self.rate, self.l2 = w, rest, rate, l2
+        self.w, self.rest = w.astype(np.float64), rest.copy()
+        self.grown, self.grown_rest = np.full(len(w), 1e-3), np.full(3, 1e-3)
+        self.index: list[np.ndarray] = []
+        self.tags: list[np.ndarray] = []
+        self.tokens = 0
+
+    def add(self, index: np.ndarray, tags: np.ndarray) -> None:
+        if len(tags):
+            self.index.append(index)
+            self.tags.append(tags)
+            self.tokens += len(tags)
+        if len(self.tags) >= STEP_DOCS or self.tokens >= STEP_TOKENS:
+            self.step()
+
+    def step(self) -> None:
+        if not self.tags:
+            return
+        size = np.array([len(t) for t in self.tags])
+        x, y = np.concatenate(self.index), np.concatenate(self.tags).astype(float)
+        g, g_move = gradient(self.w[x].sum(axis=1) + self.rest[2], y, np.cumsum(size) - size, size, self.rest[:2])
+        g, g_rest = g / len(size), np.append(g_move, g.sum()) / len(size)
+        by = np.bincount(x.ravel(), weights=np.repeat(g, x.shape[1]), minlength=len(self.w))
+        hit = np.flatnonzero(by)
+        self.grown[hit] += by[hit] ** 2
+        self.w[hit] -= self.rate * (by[hit] / np.sqrt(self.grown[hit]) + self.l2 * self.w[hit])
+        self.grown_rest += g_rest**2
+        self.rest -= 0.2 * g_rest / np.sqrt(self.grown_rest)
+        self.rest[:2] = np.clip(self.rest[:2], -3, 3)
+        self.index, self.tags, self.tokens = [], [], 0
+
+    def change(self, shard: int) -> pa.RecordBatch:
+        self.step()
+        delta = (self.w - self.base).astype(np.float32)
+        parts = [delta[i : i + SLICE].tobytes() for i in range(0, len(delta), SLICE)] + [(self.rest - self.base_rest).tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([shard] * len(parts), pa.int32()), pa.array(parts, pa.binary())], names=["part", "shard", "delta"])
+
+
+def _mix_rows(table: pa.Table) -> pa.Table:
+    """The mean change of each weight over the shards that changed it, added up in the order of the shards."""
+    part = table.column("part")[0].as_py()
+    kind = np.float32 if part < (1 << BITS) // SLICE else np.float64
+    rows = sorted(zip(table.column("shard").to_pylist(), table.column("delta").to_pylist(), strict=True))
+    total = np.zeros(len(rows[0][1]) // np.dtype(kind).itemsize)
+    touched = np.zeros(len(total))
+    for _, raw in rows:
+        total += np.frombuffer(raw, kind)
+        touched += np.frombuffer(raw, kind) != 0
+    return pa.table({"part": pa.array([part], pa.int32()), "delta": pa.array([(total / np.maximum(touched, 1)).tobytes()], pa.binary())})
+
+
+def _fit(spark: SparkSession, rows: DataFrame, marks) -> tuple[np.ndarray, np.ndarray]:
+    """Weights, and the scores of both transitions and the bias, after ``PASSES`` passes."""
+    dealt = rows.select(F.pmod(F.xxhash64("text"), F.lit(SHARDS)).cast("int").alias("shard"), F.xxhash64(F.lit(1), "text").alias("place"), "text", "label")
+    w, rest = np.zeros(1 << BITS, np.float32), np.array([0.0, 0.0, -4.0])
+    for _ in range(PASSES):
+        state = spark.sparkContext.broadcast((w, rest))
+        ordered = dealt.repartition(SHARDS, "shard").sortWithinPartitions("shard", "place", "label")
+        changes = ordered.mapInArrow(_learn_rows(marks, state), "part int, shard int, delta binary")
+        got = {r.part: np.frombuffer(bytes(r.delta)) for r in changes.groupBy("part").applyInArrow(_mix_rows, "part int, delta binary").collect()}
+        last = max(got)
+        w = (w + np.concatenate([got[i] for i in range(last)])).astype(np.float32)
+        rest = rest + got[last]
+    return w, rest
 
 
 def _tag(data: np.ndarray, offsets: np.ndarray, w: np.ndarray, rest: np.ndarray):
     """Token bounds and log odds; for each row the largest log odds and the log of one plus the expected toxic tokens."""
     starts, ends, first, index = evidence(data, offsets)
-    start, size = _blocks(first)
     u = np.full(len(starts), rest[2])
     for j in range(index.shape[1]):
         u += w[index[:, j]]
-    odds = marginals(u, start, size, _move(rest[:2]))
+    odds = marginals(u, first[:-1], np.diff(first), _move(rest[:2]))
     rows = np.flatnonzero(np.diff(first))
     top, many = np.full(len(first) - 1, -12.0), np.zeros(len(first) - 1)
     if len(rows):
@@ -251,8 +318,10 @@ def _score_rows(model, scale: np.ndarray) -> object:
                 stop.append(ends[hot[b]] - offsets[doc[a]])
             score = np.concatenate(scores)
             cat = lambda x: pa.array(np.concatenate(x).astype(np.int32) if x else np.empty(0, np.int32))
-            spans = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32)), pa.StructArray.from_arrays([cat(begin), cat(stop)], fields=list(kind.value_type)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), spans], names=["doc_id", "held_out", "score", "predicted", "spans"])
+            bounds = pa.array(np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32))
+            spans = pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays([cat(begin), cat(stop)], fields=list(kind.value_type)))
+            cols = [batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), spans]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "score", "predicted", "spans"])
 
     return run
 
@@ -269,11 +338,10 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     n = np.maximum(clean + toxic, 1)
     sure = toxic / n - np.sqrt((toxic / n) * (clean / n) / n) - 0.6 / n
     marks = spark.sparkContext.broadcast((sure > 0.8) & (toxic >= 4))
-    examples = rows.mapInArrow(_example_rows(marks), "index binary, tags binary")
-    model = examples.groupBy(F.lit("all").alias("all")).applyInArrow(_train_rows, "weights binary, rest binary").collect()
-    if not model or not marks.value.any():
+    if not marks.value.any():
         return text.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.array().cast("array<struct<begin:int,stop:int>>").alias("spans"))
-    shared = spark.sparkContext.broadcast((np.frombuffer(bytes(model[0].weights), np.float32), np.frombuffer(bytes(model[0].rest))))
+    shared = spark.sparkContext.broadcast(_fit(spark, rows, marks))
     known = rows.mapInArrow(_stat_rows(shared), "label int, top double, many double").toPandas()  # SAMPLE rows of three numbers
+    known = known.sort_values(["label", "top", "many"])  # sums in one order
     scale = _logistic(known[["top", "many"]].to_numpy(), (known["label"] > 0).to_numpy(float))
     return text.mapInArrow(_score_rows(shared, scale), "doc_id long, held_out boolean, score double, predicted int, spans array<struct<begin:int,stop:int>>")
