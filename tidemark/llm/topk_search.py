@@ -12,9 +12,10 @@ Query blocks meet index blocks by an equality join on block numbers; each pair
 returns k rows for each query, and the best k of all are kept.
 
 Defined results: vectors that are null, empty or hold a null or non-finite component
-take no part; shorter vectors count as padded with zeros; rows with equal vec_id are
-candidates each, and a query is every row whose id is divisible, never paired with
-its own id; null ids take no part; further columns are ignored.
+take no part; shorter vectors count as padded with zeros; a very long vector widens its block alone; rows with
+equal vec_id are candidates each, and a query is every row whose id is divisible, never paired with
+its own row, so that twins find one another and each has its own ranks; null ids take no part; an empty table
+gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,27 +29,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-INDEX_ROWS, QUERY_ROWS, LEVELS, CANDIDATES = 4096, 256, 16, 64
+from tidemark.llm.store import materialize
 
+INDEX_ROWS, QUERY_ROWS, LEVELS, CANDIDATES = 4096, 4096, 16, 64
 
-def _integers(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and integer rows of the vectors that take part, padded with zeros to one width."""
+
+def _integers(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, row numbers and integer rows of the vectors that take part, padded with zeros to one width."""
     lists = table.column("embedding").combine_chunks()
     lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
     size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
     values = pc.cast(lists.flatten(), pa.float64()).to_numpy(zero_copy_only=False)
     wide = np.zeros((len(size), int(size.max(initial=0))))
     wide[np.arange(wide.shape[1])[None, :] < size[:, None]] = values
-    ids = table.column("vec_id").to_numpy()
+    ids, rows = table.column("vec_id").to_numpy(), table.column("row").to_numpy()
     ok = (size > 0) & np.isfinite(wide).all(axis=1)
-    return ids[ok], np.floor(wide[ok] * 1024).astype(np.int64)
+    return ids[ok], rows[ok], np.floor(wide[ok] * 1024).astype(np.int64)
 
 
 def _block_rows(key: str) -> object:
     def run(table: pa.Table) -> pa.Table:
-        ids, x = _integers(table)
-        order = np.argsort(ids, kind="stable")
-        return pa.table({key: pa.array([table.column(key)[0].as_py()], pa.int32()), "ids": pa.array([ids[order].tobytes()], pa.binary()), "x": pa.array([x[order].tobytes()], pa.binary())})
+        ids, rows, x = _integers(table)
+        order = np.argsort(rows, kind="stable")
+        packed = {name: pa.array([a[order].tobytes()], pa.binary()) for name, a in (("ids", ids), ("rows", rows), ("x", x))}
+        return pa.table({key: pa.array([table.column(key)[0].as_py()], pa.int32()), **packed})
 
     return run
 
@@ -80,6 +84,8 @@ class Index:
         w = q[self.comp].astype(np.float64)
         top = np.where(w >= 0, w * self.high, w * self.low)
         low = np.where(w >= 0, w * self.low, w * self.high)
+        # What rounding of the float sums can add up to at most.
+        slack = np.abs(q).astype(float) @ np.abs(self.x).max(axis=0) * (4 * width * np.finfo(float).eps)
         order = np.lexsort((np.arange(len(top)), -top))
         sizes = self.stop[order] - self.begin[order]
         done = np.cumsum(sizes)
@@ -100,12 +106,12 @@ class Index:
             rest = order[at:]
             nxt = np.full(width, -np.inf)
             np.maximum.at(nxt, self.comp[rest], top[rest])
-            bound = upper + np.maximum(nxt, 0).sum() + 1e-6
+            bound = upper + np.maximum(nxt, 0).sum() + slack
             bound[skip] = -np.inf
             floor = lower + left_low
             floor[skip] = -np.inf
             threshold = np.partition(floor, n - k)[n - k] if n > k else -np.inf
-            possible = np.flatnonzero(bound >= threshold - 1e-6)
+            possible = np.flatnonzero(bound >= threshold - slack)
             if len(possible) <= CANDIDATES:
                 break
         else:
@@ -124,20 +130,22 @@ def _search_rows(k: int) -> object:
                     continue
                 if built is None or built[0] != r["block"]:
                     built = (r["block"], Index(np.frombuffer(r["x"], np.int64).reshape(len(ids), -1)), ids)
-                qids = np.frombuffer(r["qids"], np.int64)
+                own = np.frombuffer(r["rows"], np.int64)
+                qids, qrows = (np.frombuffer(r[c], np.int64) for c in ("qids", "qrows"))
                 qs = np.frombuffer(r["qx"], np.int64).reshape(len(qids), -1)
                 width = built[1].x.shape[1]
                 qs = np.pad(qs, ((0, 0), (0, max(0, width - qs.shape[1]))))[:, :width]
-                out = [[], [], []]
-                for qid, q in zip(qids.tolist(), qs, strict=True):
-                    a, b = np.searchsorted(ids, qid, "left"), np.searchsorted(ids, qid, "right")
+                out = [[], [], [], []]
+                for qid, qrow, q in zip(qids.tolist(), qrows.tolist(), qs, strict=True):
+                    a, b = np.searchsorted(own, qrow, "left"), np.searchsorted(own, qrow, "right")
                     rows, score = built[1].search(q, k, np.arange(a, b))
                     best = np.lexsort((ids[rows], -score))[:k]
                     out[0].append(np.full(len(best), qid))
-                    out[1].append(ids[rows[best]])
-                    out[2].append(score[best])
+                    out[1].append(np.full(len(best), qrow))
+                    out[2].append(ids[rows[best]])
+                    out[3].append(score[best])
                 if qids.size:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o).astype(np.int64)) for o in out], names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o).astype(np.int64)) for o in out], names=["query_id", "query_row", "vec_id", "score"])
 
     return run
 
@@ -145,12 +153,18 @@ def _search_rows(k: int) -> object:
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id ``every`` divides the k highest of all other rows."""
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null and embedding is not null")
+    base = materialize(base.withColumn("row", F.monotonically_increasing_id()))  # written, so that a row keeps its number
     asked = base.where(F.col("vec_id") % every == 0)
     n, m = base.agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1))).collect()[0]
     blocks, parts = max(1, -(-n // INDEX_ROWS)), max(1, -(-m // QUERY_ROWS))
-    deal = lambda df, key, count: df.withColumn(key, F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int")).groupBy(key).applyInArrow(_block_rows(key), f"{key} int, ids binary, x binary")
-    index = deal(base, "block", blocks)
-    queries = deal(asked, "part", parts).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("ids").alias("qids"), F.col("x").alias("qx"))
-    found = index.join(queries, "block").select("block", "ids", "x", "qids", "qx").mapInArrow(_search_rows(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+
+    def deal(df: DataFrame, key: str, count: int) -> DataFrame:
+        numbered = df.withColumn(key, F.pmod(F.xxhash64("row"), F.lit(count)).cast("int"))
+        return numbered.groupBy(key).applyInArrow(_block_rows(key), f"{key} int, ids binary, rows binary, x binary")
+
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    queries = deal(asked, "part", parts).select(each, F.col("ids").alias("qids"), F.col("rows").alias("qrows"), F.col("x").alias("qx"))
+    pairs = deal(base, "block", blocks).join(queries, "block").select("block", "ids", "rows", "x", "qids", "qrows", "qx")
+    found = pairs.mapInArrow(_search_rows(k), "query_id long, query_row long, vec_id long, score long")
+    rank = F.row_number().over(W.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
