@@ -6,12 +6,14 @@ run to the next one marked in a document and carries a hash of all words from on
 the other. A join with the nodes' degree table tells which nodes recur and where
 paths branch; unbranched edges between recurring nodes compact into paths, whose
 occurrences all have the same words, so any window inside one recurs. Only windows
-that cross a path's end and hold a recurring node are hashed whole and counted,
-and source coordinates carry the verdicts back to the documents.
-
-Defined results: a null or empty text has no words; matches stay within rows; two
-rows that are equal repeat one another; a null doc_id is kept as null; an empty
-table gives no rows; further columns of the input are ignored.
+that cross a path's end and hold a recurring node are counted whole. At their source
+coordinates the words are hashed again, from their bytes on and with another base, so that two windows
+are taken for equal by 128 bits only; inside a path a node's and an edge's hash agree, 128 bits as well.
+Source coordinates then carry the verdicts back to the documents.
+
+Defined results: a null or empty text has no words; a very long text is one row of words like any other; matches
+stay within rows; two rows that are equal repeat one another; a null doc_id is kept as null; ties don't arise; an
+empty table gives no rows; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -54,14 +56,14 @@ def _node_rows(window: int, k: int):
 
 
 def _window_rows(window: int, k: int):
-    """Of the rows with recurring nodes: spans of window starts proven by a path (wh null), and windows to count."""
+    """Of the rows with recurring nodes: spans of window starts proven by a path (words null), and windows to count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ths = (batch.column(i).to_numpy() for i in range(2))
             lists, (pos, follows, preceded) = S.list_of(batch, "pos", "out1", "in1")
             for row, end, data, offsets in K.chunks(batch):
-                _, _, first, h = _word_hashes(data, offsets)
+                starts, ends, first, h = _word_hashes(data, offsets)
                 part = slice(lists[row], lists[end])
                 doc = np.repeat(np.arange(end - row), np.diff(lists[row : end + 1]))
                 at, out1, in1 = first[doc] + pos[part], follows[part], preceded[part]
@@ -81,15 +83,18 @@ def _window_rows(window: int, k: int):
                 near = S.covered(len(h), near_lo[ok], near_hi[ok] + 1)
                 s = np.flatnonzero(near & ~inside)
                 wh = K.span_hash(K.word_sums(h), s, s + window)
+                again = K.span_hash(K.prefix(data, K.OTHER), starts, ends, K.OTHER) if len(s) else h
+                wv = K.span_hash(K.word_sums(again, K.OTHER), s, s + window, K.OTHER)
                 s_doc = np.searchsorted(first, s, "right") - 1
                 d = np.concatenate((path_doc, s_doc))
+                key = [pa.array(np.concatenate((np.zeros(len(lo), np.int64), x.view(np.int64)))) for x in (wh, wv)]
                 cols = [
-                    pa.array(np.concatenate((np.zeros(len(lo), np.int64), wh.view(np.int64))), mask=np.arange(len(d)) < len(lo)),
+                    pa.StructArray.from_arrays(key, ["h", "v"], mask=pa.array(np.arange(len(d)) < len(lo))),
                     pa.array(ids[row + d]), pa.array(ths[row + d]),
                     pa.array((np.concatenate((lo, s)) - first[d]).astype(np.int32)),
                     pa.array((np.concatenate((hi, s)) - first[d]).astype(np.int32)),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, names=["wh", "id", "th", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays(cols, names=["words", "id", "th", "lo", "hi"])
 
     return run
 
@@ -133,10 +138,10 @@ def repeated_windows(docs: DataFrame, window: int = 35, k: int = 8) -> DataFrame
     degree = nodes.groupBy("key").agg(F.count("*").alias("n"), one("nxt").alias("out1"), one("prv").alias("in1")).where("n > 1")
     recurring = join_counted(nodes.select("key", "id", "th", "pos"), materialize(degree), "key", "id", "pos")
     joined = S.with_lists(S.keyed(docs), recurring, "inner", "pos", "out1", "in1")
-    rows = materialize(joined.select("id", "th", "text", "found").mapInArrow(_window_rows(window, k), "wh long, id long, th long, lo int, hi int"))
-    counted = rows.where("wh is not null")
-    again = counted.groupBy("wh").agg(F.count("*").alias("n")).where("n > 1")
-    return rows.where("wh is null").drop("wh").unionByName(join_counted(counted, materialize(again), "wh", "id", "lo").drop("wh"))
+    rows = materialize(joined.select("id", "th", "text", "found").mapInArrow(_window_rows(window, k), "words struct<h:long,v:long>, id long, th long, lo int, hi int"))
+    counted = rows.where("words is not null")
+    again = counted.groupBy("words").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.where("words is null").drop("words").unionByName(join_counted(counted, materialize(again), "words", "id", "lo").drop("words"))
 
 
 def substring_dedup(docs: DataFrame, window: int = 35, k: int = 8, with_text: bool = False) -> DataFrame:

@@ -23,7 +23,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Base of a second hash, independent of the first.
+OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -88,30 +89,34 @@ def words(data: np.ndarray, offsets: np.ndarray, punctuation: bool = False) -> t
     return starts, np.flatnonzero(stops) + 1, np.searchsorted(starts, offsets)
 
 
-def prefix(data: np.ndarray) -> np.ndarray:
+def _inverse(base: np.uint64) -> np.uint64:
+    return np.uint64(pow(int(base), -1, 1 << 64))
+
+
+def prefix(data: np.ndarray, base: np.uint64 = _BASE) -> np.ndarray:
     """Running polynomial sums, from which ``span_hash`` takes any range's hash."""
     out = np.zeros(len(data) + 1, np.uint64)
     if len(data):
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data)), out=out[1:])
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(base, len(data)), out=out[1:])
     return out
 
 
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = _BASE) -> np.ndarray:
     """64-bit hashes of byte ranges; equal bytes give equal hashes, wherever they are."""
-    return mix((sums[ends] - sums[starts]) * _power(_INV, len(sums))[starts])
+    return mix((sums[ends] - sums[starts]) * _power(_inverse(base), len(sums))[starts])
 
 
 def gram_hash(sums: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the k-grams that start at 0, 1, ... of the sequence behind ``sums``."""
     n = len(sums) - k
-    return mix((sums[k:] - sums[:n]) * _power(_INV, len(sums))[:n]) if n > 0 else np.empty(0, np.uint64)
+    return mix((sums[k:] - sums[:n]) * _power(_inverse(_BASE), len(sums))[:n]) if n > 0 else np.empty(0, np.uint64)
 
 
-def word_sums(hashes: np.ndarray) -> np.ndarray:
+def word_sums(hashes: np.ndarray, base: np.uint64 = _BASE) -> np.ndarray:
     """``prefix`` for a sequence of word hashes."""
     out = np.zeros(len(hashes) + 1, np.uint64)
     if len(hashes):
-        np.cumsum(hashes * _power(_BASE, len(hashes)), out=out[1:])
+        np.cumsum(hashes * _power(base, len(hashes)), out=out[1:])
     return out
 
 

@@ -14,8 +14,9 @@ but for the earliest, so a passage that very many documents share sends few rows
 
 Defined results: null text counts as empty; matches stay within rows; null ids sort
 first; rows that are equal in id and text count as one place, so neither removes the
-other; rows of one id with different texts are ordered by start, then text hash;
-an empty table gives no rows; further columns of the input are ignored.
+other; rows of one id with different texts tie and are ordered by start, then text hash; a very long text
+is processed whole, its suffixes cut to what one string needs; an empty table gives no rows; further columns
+of the input are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from tidemark.llm import spans as S
 from tidemark.llm.skew import join_counted
 from tidemark.llm.store import discard, materialize
 
-#: Bytes of suffix records that one range should hold, and rows of the sample behind the splitters.
-RANGE_BYTES, SAMPLE = 12 << 20, 8192
+#: Bytes of suffix records that one range should hold; sampled heads behind the splitters, at least and for each range.
+RANGE_BYTES, SAMPLE, HEADS = 12 << 20, 8192, 8
 
 
 def multikey_sort(rows: np.ndarray) -> np.ndarray:
@@ -175,7 +176,7 @@ def repeated_strings(docs: DataFrame, window: int = 100, k: int = 24) -> DataFra
     recur = marks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     marked = materialize(join_counted(marks, materialize(recur), "key", "id", "pos").drop("key"))
     ranges = max(1, math.ceil(marked.count() * (2 * window) / RANGE_BYTES))
-    sample = marked.where("head is not null").orderBy(F.xxhash64("id", "pos"), "id", "pos").limit(SAMPLE).select("head").collect()
+    sample = marked.where("head is not null").orderBy(F.xxhash64("id", "pos"), "id", "pos").limit(max(SAMPLE, HEADS * ranges)).select("head").collect()
     heads = sorted(bytes(r.head) for r in sample)
     splitters = sorted({heads[len(heads) * i // ranges] for i in range(1, ranges)}) if heads else []
     joined = S.with_lists(S.keyed(docs), marked, "inner", "pos").select("id", "th", "text", "found")
