@@ -28,15 +28,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import spans as S
-from tidemark.llm.store import forget_at_exit, materialize, shared_dir
+from tidemark.llm.skew import FEW
+from tidemark.llm.store import discard, forget_at_exit, materialize, shared_dir
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published pattern that cuts text before this vocabulary's merges (fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-END, LENGTH, PER_SHARD = 50256, 512, 4096
-#: Documents that are numbered in one task, and shards that one task writes at most.
-NUMBERED, SHARDS = 50_000, 32
-RECORD = "slot long, shard int, byte_offset long, doc_id long, seq int, n_tokens int, record binary"
+END, LENGTH, PER_SHARD, KEY = 50256, 512, 4096, 20_240_601
+#: Documents that are numbered in one task, shards that one task writes at most, and ranges of slots written one after another.
+NUMBERED, SHARDS, ROUNDS = 4_000, 32, 4
+INDEX = "slot long, shard int, byte_offset long, doc_id long, seq int, n_tokens int"
+RECORD = INDEX + ", record binary"
 
 
 def feistel(x: np.ndarray, count: int, key: int, rounds: int = 6) -> np.ndarray:
@@ -87,7 +89,8 @@ def _token_rows(vocabulary) -> object:
     return run
 
 
-def _record_rows(count: int, key: int, length: int, per_shard: int) -> object:
+def _record_rows(count: int, key: int, length: int, per_shard: int, low: int, high: int) -> object:
+    """The records of slots ``low`` to ``high`` - 1."""
     names = [f.split()[0] for f in RECORD.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,6 +108,8 @@ def _record_rows(count: int, key: int, length: int, per_shard: int) -> object:
                     row = np.repeat(np.arange(len(n)), np.where(m > turn, pieces, 0))
                     seq = np.arange(len(row)) - np.repeat(np.cumsum(np.where(m > turn, pieces, 0)) - pieces * (m > turn), np.where(m > turn, pieces, 0))
                     slot = feistel(start[row] + turn * pieces[row] + seq, count, key)
+                    own = np.flatnonzero((slot >= low) & (slot < high))
+                    row, seq, slot = row[own], seq[own], slot[own]
                     size = np.minimum(n[row] - seq * length, length)
                     records = []
                     for i, s, k in zip(row.tolist(), seq.tolist(), size.tolist(), strict=True):
@@ -116,15 +121,12 @@ def _record_rows(count: int, key: int, length: int, per_shard: int) -> object:
     return run
 
 
-def training_order(docs: DataFrame, tokenizer: str = TOKENIZER, key: int = 20_240_601, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
-    """slot, shard, byte_offset, doc_id, seq, n_tokens, record; a partition holds its shards in slot order.
-
-    A record is its number of tokens (four bytes), the ids, and zeros up to the stride, little-endian.
-    """
+def _numbered(docs: DataFrame, tokenizer: str, length: int) -> tuple[DataFrame, DataFrame, int]:
+    """The written ids of each text, the same with the number of its first sequence, and how many sequences there are."""
     spark = docs.sparkSession
     with open(tokenizer, "rb") as f:
         vocabulary = spark.sparkContext.broadcast(f.read())
-    groups = max(16, docs.count() // NUMBERED)
+    groups = max(1, docs.count() // NUMBERED)
     tokens = S.keyed(docs).mapInArrow(_token_rows(vocabulary), "id long, th long, doc_id long, m long, n long, ids binary")
     # Groups of ids are numbered each in its order; the ids are shuffled once for that, and the records once to their shards.
     pieces = F.col("m") * F.ceil(F.col("n") / length)
@@ -134,17 +136,28 @@ def training_order(docs: DataFrame, tokenizer: str = TOKENIZER, key: int = 20_24
     totals = materialize(numbered.groupBy("g").agg(F.sum(pieces).alias("sequences")))
     outer = totals.select("g", before("sequences", W.partitionBy(F.lit(0)).orderBy("g")).alias("outer"))  # a row for NUMBERED documents
     count = int(totals.agg(F.sum("sequences")).collect()[0][0] or 0)
-    if not count:
-        return spark.createDataFrame([], RECORD)
-    placed = numbered.join(F.broadcast(outer), "g").select("doc_id", "m", "n", (F.col("inner") + F.col("outer")).alias("start"), "ids")
-    records = placed.mapInArrow(_record_rows(count, key, length, per_shard), RECORD)
-    shards = -(-count // per_shard)
-    each = max(1, min(SHARDS, shards // (4 * spark.sparkContext.defaultParallelism)))
-    return records.repartitionById(-(-shards // each), F.floor(F.col("shard") / each).cast("int")).sortWithinPartitions("slot")
+    placed = numbered.join(F.broadcast(outer) if groups <= FEW else outer, "g")
+    return numbered, placed.select("doc_id", "m", "n", (F.col("inner") + F.col("outer")).alias("start"), "ids"), count
+
+
+def _ordered(placed: DataFrame, count: int, key: int, length: int, per_shard: int, low: int, high: int) -> DataFrame:
+    """The records of shards ``low`` to ``high`` - 1; a partition holds its shards in slot order."""
+    records = placed.mapInArrow(_record_rows(count, key, length, per_shard, low * per_shard, high * per_shard), RECORD)
+    each = max(1, min(SHARDS, (high - low) // (4 * placed.sparkSession.sparkContext.defaultParallelism)))
+    return records.repartitionById(max(1, -(-(high - low) // each)), F.floor((F.col("shard") - low) / each).cast("int")).sortWithinPartitions("slot")
+
+
+def training_order(docs: DataFrame, tokenizer: str = TOKENIZER, key: int = KEY, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
+    """slot, shard, byte_offset, doc_id, seq, n_tokens, record; a partition holds its shards in slot order.
+
+    A record is its number of tokens (four bytes), the ids, and zeros up to the stride, little-endian.
+    """
+    _, placed, count = _numbered(docs, tokenizer, length)
+    return _ordered(placed, count, key, length, per_shard, 0, -(-count // per_shard))
 
 
 def written(ordered: DataFrame, folder: str) -> DataFrame:
-    """Write each shard of ``training_order`` as a file of bare records; its rows, with path and sha256 of their file.
+    """Write each shard of ``training_order`` as a file of bare records; its rows, with path and sha256 of their file for the record.
 
     A task writes under a name of its own and renames, so a repeated or a second attempt leaves the same file.
     """
@@ -160,16 +173,15 @@ def written(ordered: DataFrame, folder: str) -> DataFrame:
         now, held = None, []
 
         def close():
-            whole = pa.Table.from_batches(held)
             path, digest = f"{base}/shard-{now:06d}.bin", hashlib.sha256()
             with where.open_output_stream(f"{path}.{own}") as out:
-                for part in whole.column("record").chunks:
-                    raw = b"".join(part.to_pylist())
+                for batch in held:
+                    raw = b"".join(batch.column(6).to_pylist())
                     out.write(raw)
                     digest.update(raw)
             where.move(f"{path}.{own}", path)
             for batch in held:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([path] * len(batch)), pa.array([digest.hexdigest()] * len(batch))], names=[*batch.schema.names, "path", "sha256"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array([path] * len(batch)), pa.array([digest.hexdigest()] * len(batch))], names=[*batch.schema.names[:6], "path", "sha256"])
 
         for batch in batches:
             shard = batch.column(1).to_numpy()
@@ -184,7 +196,7 @@ def written(ordered: DataFrame, folder: str) -> DataFrame:
         if held:
             yield from close()
 
-    return ordered.mapInArrow(run, RECORD + ", path string, sha256 string")
+    return ordered.mapInArrow(run, INDEX + ", path string, sha256 string")
 
 
 def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
@@ -192,11 +204,53 @@ def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
     return written(ordered, folder).groupBy("shard").agg(F.first("path").alias("path"), F.count("*").alias("n"), F.first("sha256").alias("sha256"))
 
 
-def token_shards(docs: DataFrame) -> DataFrame:
-    """The rows of ``written``, its files in the shared folder until the process ends."""
-    folder = f"{shared_dir(docs.sparkSession)}/tidemark-shards-{uuid.uuid4().hex}"
-    forget_at_exit(docs.sparkSession, folder)
-    return written(training_order(docs), folder)
+def with_records(index: DataFrame, folder: str, length: int = LENGTH) -> DataFrame:
+    """Add ``record`` to the rows of ``written``, read from the files: neighbours in a file by one read."""
+    names = [f.name for f in index.schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        where, _ = fs.FileSystem.from_uri(folder)
+        path, file = None, None
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                begin, paths, records = batch.column(2).to_pylist(), batch.column(6).to_pylist(), []
+                stride = 4 + length * 2
+                i = 0
+                while i < len(begin):
+                    j = i + 1
+                    while j < len(begin) and paths[j] == paths[i] and begin[j] == begin[j - 1] + stride:
+                        j += 1
+                    if paths[i] != path:
+                        path, file = paths[i], where.open_input_file(paths[i])
+                    raw = file.read_at((j - i) * stride, begin[i])
+                    records += [raw[k : k + stride] for k in range(0, len(raw), stride)]
+                    i = j
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(records, pa.binary())], names=[*names, "record"])
+
+    return index.mapInArrow(run, INDEX + ", path string, sha256 string, record binary")
+
+
+def token_shards(docs: DataFrame, tokenizer: str = TOKENIZER, key: int = KEY, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
+    """Write all shards to the shared folder, where they stay until the process ends; their rows, records read from the files.
+
+    Ranges of shards are written one after another, which takes a part of the shuffle's disk at a time.
+    """
+    spark = docs.sparkSession
+    folder = f"{shared_dir(spark)}/tidemark-shards-{uuid.uuid4().hex}"
+    forget_at_exit(spark, folder)
+    numbered, placed, count = _numbered(docs, tokenizer, length)
+    shards = -(-count // per_shard)
+    cuts = sorted({shards * i // ROUNDS for i in range(ROUNDS + 1)})
+    empty = spark.createDataFrame([], INDEX + ", path string, sha256 string")
+    done = [materialize(written(_ordered(placed, count, key, length, per_shard, a, b), folder)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    discard(numbered)
+    index = done[0] if done else empty
+    for more in done[1:]:
+        index = index.unionByName(more)
+    return with_records(index, folder, length)
 
 
 def read_sequences(path: str, first: int, count: int, length: int = LENGTH, width: int = 2) -> list[np.ndarray]:
