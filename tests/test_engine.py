@@ -254,7 +254,7 @@ def test_reports(spark, tmp_path):
     assert R.plot_range(bars, "2030-01-01", None).count() == 150
     assert R.panels(bars.withColumns({"near": F.col("close"), "far": F.lit(-900.0)}), ["near", "far"]) == {"near": "overlay", "far": "sub"}
     assert R.warmup_bars({"a_period": 9, "b_len": 20}) == 20
-    assert R.levels({"rsi_overbought": 70, "rsi_oversold": 30}, "rsi") == {"hi": 70.0, "lo": 30.0}
+    assert R.levels({"rsi_overbought": 70, "rsi_oversold": 30}, "rsi") == {"hi": 70.0, "lo": 30.0, "mid": 50.0}
     assert R.aligned(bars, bars.withColumn("n", F.lit(math.nan)), ["n"]).where("n is null").count() == 150
     curve = spark.createDataFrame([("A", i, float(e)) for i, e in enumerate((10, 8, 4, 2))], "symbol string, seq long, equity double")
     assert R.before_ruin(bars, curve).count() == 112

@@ -11,6 +11,7 @@ import math
 
 import numpy as np
 from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.internal import InternalFunction
 
@@ -52,7 +53,7 @@ def rolling_max(x: Column, w: WindowSpec, k: int) -> Column:
 def ewm(x: Column, w: WindowSpec, span: float | None = None, alpha: float | None = None, least: int = 1) -> Column:
     """Exponentially weighted mean with normalised weights; null until ``least`` values were seen."""
     a = 2.0 / (span + 1.0) if alpha is None else alpha
-    seen = F.count(x).over(w.rowsBetween(-(1 << 30), 0))
+    seen = F.count(x).over(w.rowsBetween(W.unboundedPreceding, 0))
     return F.when(x.isNotNull() & (seen >= least), InternalFunction.ewm(x, a, False).over(w))
 
 

@@ -9,18 +9,35 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalar import finite, safe_div
 from tidemark.operators.trades import Config, equity
 
-#: Other names of metrics that readers may ask for (fixed values).
+#: Other names of metrics that readers may ask for, without regard to case (fixed values).
 METRIC_ALIASES = {
-    "total_trades": "n_trades", "num_trades": "n_trades", "count_longs": "n_trades_long", "num_longs": "n_trades_long",
-    "count_shorts": "n_trades_short", "num_shorts": "n_trades_short", "net_pnl": "pnl_neto",
-}
+    "winrate": "win_rate wr win_pct win_percent",
+    "sharpe": "sharpe_ratio sharperatio sr",
+    "sortino": "sortino_ratio sortinoratio",
+    "profit_factor": "profitfactor pf profit_f",
+    "drawdown": "max_drawdown maxdrawdown dd max_dd mdd",
+    "roi": "return_pct return_percent retorno pnl_percent",
+    "saldo_actual": "saldo_final final_balance balance saldo",
+    "comisiones_total": "comisiones commissions total_comm fees",
+    "n_trades": "total_trades num_trades trades trade_count",
+    "n_trades_long": "count_longs num_longs longs long_count n_longs",
+    "n_trades_short": "count_shorts num_shorts shorts short_count n_shorts",
+    "pnl_neto": "pnl net_pnl profit net_profit",
+    "pnl_neto_por_dia_operado": "pnl_por_dia_operado pnl_dia_operado net_pnl_per_trading_day net_pnl_per_operated_day",
+}
+_NAMED = {other: name for name, others in METRIC_ALIASES.items() for other in others.split()}
+
+
+def annualised(ratio: Column, trades_per_day: Column) -> Column:
+    """A ratio of single trades, such as ``sharpe``, scaled to a year by the trades of a day."""
+    return ratio * F.sqrt(F.greatest(trades_per_day * 365.25, F.lit(0.0)))
 
 
 def metric(df: DataFrame, name: str) -> Column:
     """A metric's column by any of its names, without regard to case."""
     key = name.strip().lower()
-    key = METRIC_ALIASES.get(key, key)
-    return F.col({c.lower(): c for c in df.columns}[key])
+    have = {c.lower(): c for c in df.columns}
+    return F.col(have[key] if key in have else have[_NAMED.get(key, key)])
 
 
 def streaks(executed: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFrame:

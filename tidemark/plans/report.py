@@ -86,35 +86,65 @@ def before_ruin(bars: DataFrame, curve: DataFrame, floor: float = 5.0) -> DataFr
     return bars.join(limit, "symbol").where(F.col("bar_idx") < F.col("limit")).drop("limit")
 
 
-def panels(bars: DataFrame, names: list[str]) -> dict[str, str]:
-    """ "overlay" for indicators whose range lies near the prices', "sub" for others; one aggregate of one row."""
-    got = bars.agg(F.min("low").alias("low"), F.max("high").alias("high"), *[f(n).alias(f"{n}_{k}") for n in names for k, f in (("min", F.min), ("max", F.max))]).collect()[0].asDict()
-    low, high = got["low"] or 0.0, got["high"] or 0.0
-    near = lambda n: got[f"{n}_min"] is not None and got[f"{n}_min"] >= 0.5 * low and got[f"{n}_max"] <= 1.5 * high
-    return {n: "overlay" if near(n) else "sub" for n in names}
+def panels(bars: DataFrame, names: list[str], own: dict[str, str] | None = None) -> dict[str, str]:
+    """ "overlay" for indicators on the prices' scale, "sub" for others; one aggregate of one row. A strategy's own choice wins.
+
+    An overlay lies within 15 % of the price span on either side, and spans from a tenth to one and a half of it. An indicator
+    below zero beside prices above 100, or of a span under 20 beside prices above 50, is none.
+    """
+    value = lambda n: F.when(finite(F.col(n)), F.col(n))
+    got = bars.agg(F.min("low").alias("low"), F.max("high").alias("high"), *[f(value(n)).alias(f"{n}_{k}") for n in names for k, f in (("min", F.min), ("max", F.max))]).collect()[0].asDict()
+    low, high = got["low"], got["high"]
+
+    def place(n: str) -> str:
+        least, most = got[f"{n}_min"], got[f"{n}_max"]
+        if least is None or low is None or not low < high:
+            return "sub"
+        span, prices = most - least, high - low
+        if (least < 0 and low > 100) or (span < 20 and low > 50):
+            return "sub"
+        return "overlay" if least >= low - 0.15 * prices and most <= high + 0.15 * prices and 0.1 * prices <= span <= 1.5 * prices else "sub"
+
+    chosen = {k: v for k, v in (own or {}).items() if v in ("overlay", "sub")}
+    return {n: chosen.get(n) or place(n) for n in names}
+
+
+#: Forms of the names of parameters that give a panel's lines, best first; {} is the indicator (fixed values).
+LEVEL_NAMES = {
+    "period": ("{}_period", "period_{}", "{}_length", "length_{}", "{}_len", "{}_window", "window_{}", "period", "length"),
+    "hi": ("{}_overbought", "overbought_{}", "{}_ob", "{}_upper", "upper_{}", "{}_hi", "hi_{}", "{}_threshold_hi"),
+    "lo": ("{}_oversold", "oversold_{}", "{}_os", "{}_lower", "lower_{}", "{}_lo", "lo_{}", "{}_threshold_lo"),
+    "entry_long": ("entry_long_{}", "{}_entry_long", "entry_long", "long_entry_{}", "{}_long_entry", "entry_level_long"),
+    "entry_short": ("entry_short_{}", "{}_entry_short", "entry_short", "short_entry_{}", "{}_short_entry", "entry_level_short"),
+    "exit_long": ("exit_long_{}", "{}_exit_long", "exit_long", "long_exit_{}", "{}_long_exit", "exit_level_long"),
+    "exit_short": ("exit_short_{}", "{}_exit_short", "exit_short", "short_exit_{}", "{}_short_exit", "exit_level_short"),
+}
+
+
+def _number(value) -> float | None:
+    try:
+        return float(value)
+    except (TypeError, ValueError):
+        return None
 
 
 def levels(params: dict, indicator: str) -> dict[str, float]:
-    """hi, lo and mid lines of an indicator from the names of parameters such as rsi_overbought or z_thr."""
+    """An indicator's period and lines from the names of parameters; the middle lies halfway between hi and lo."""
     out: dict[str, float] = {}
-    for name, value in params.items():
-        if not isinstance(value, int | float) or not name.startswith(indicator.split("_")[0]):
-            continue
-        if name.endswith(("_overbought", "_hi", "_upper")):
-            out["hi"] = float(value)
-        elif name.endswith(("_oversold", "_lo", "_lower")):
-            out["lo"] = float(value)
-        elif name.endswith(("_thr", "_threshold")):
-            out |= {"hi": float(value), "lo": -float(value), "mid": 0.0}
+    for line, forms in LEVEL_NAMES.items():
+        found = (_number(params.get(form.format(indicator.lower()))) for form in forms)
+        if (value := next((v for v in found if v is not None), None)) is not None:
+            out[line] = int(value) if line == "period" else value
+    if "hi" in out and "lo" in out:
+        out["mid"] = (out["hi"] + out["lo"]) / 2
     return out
 
 
-def warmup_bars(params: dict) -> int:
-    """Declared warm-up, else the largest parameter named like a length."""
-    if "__warmup_bars" in params:
-        return int(params["__warmup_bars"])
-    lengths = [int(v) for k, v in params.items() if k.endswith(("_period", "_length", "_len", "_window")) and isinstance(v, int | float)]
-    return max(lengths, default=0)
+def warmup_bars(params: dict, least: int = 1) -> int:
+    """Declared warm-up if it is a positive number, else the largest parameter named like a length; ``least`` at least."""
+    whole = lambda v: int(_number(v) or 0)
+    lengths = [whole(v) for k, v in params.items() if k.lower().endswith(("_period", "_length", "_len", "_window"))]
+    return max(least, whole(params.get("__warmup_bars")) if whole(params.get("__warmup_bars")) > 0 else max(lengths, default=0))
 
 
 def markers(executed: DataFrame, bars: DataFrame, warmup: int = 0) -> DataFrame:

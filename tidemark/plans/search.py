@@ -139,11 +139,26 @@ def run_trials(bars: DataFrame, strategy: Strategy, trials: list[tuple[int, dict
     return every.join(made, list(by), "left").withColumn("score", F.coalesce("score", F.lit(0.0))), executed
 
 
-def optimise(bars: DataFrame, strategy: Strategy, n_trials: int, cfg: T.Config, batch: int = 32, seed: int = 0, sampler: str = "tpe", optimise_exits: bool = True, on_batch: Callable[[DataFrame, DataFrame], None] | None = None) -> list[tuple[dict[str, Any], float]]:
-    """Ask for a batch, run it as one job, tell its mean scores over symbols, and go on; best first."""
+def optimise(
+    bars: DataFrame,
+    strategy: Strategy,
+    n_trials: int,
+    cfg: T.Config,
+    batch: int = 32,
+    seed: int = 0,
+    sampler: str = "tpe",
+    optimise_exits: bool = True,
+    on_batch: Callable[[DataFrame, DataFrame], None] | None = None,
+    extra: dict[str, Any] | None = None,
+    told_in_order: bool = False,
+) -> list[tuple[dict[str, Any], float]]:
+    """Ask for a batch, run it as one job, tell its mean scores over symbols, and go on; best first, or as they were told.
+
+    ``extra``: ranges beside the strategy's own, such as ``quantity_space``.
+    """
     if sampler not in {"tpe", "random"}:
         raise ValueError(f"unknown sampler: {sampler}")
-    extra = exit_space(cfg.exit_type) if optimise_exits else {}
+    extra = (exit_space(cfg.exit_type) if optimise_exits else {}) | (extra or {})
     told: list[tuple[dict[str, Any], float]] = []
     while len(told) < n_trials:
         n = min(batch, n_trials - len(told))
@@ -154,7 +169,7 @@ def optimise(bars: DataFrame, strategy: Strategy, n_trials: int, cfg: T.Config,
             on_batch(metrics, executed)
         scores = {r.trial: r.s for r in metrics.groupBy("trial").agg(F.avg("score").alias("s")).collect()}
         told += [(p, scores.get(first + i, 0.0)) for i, p in enumerate(asked)]
-    return sorted(told, key=lambda t: -t[1])
+    return told if told_in_order else sorted(told, key=lambda t: -t[1])
 
 
 def top_trials(metrics: DataFrame, n: int = 5, failed: float = -9999.0) -> DataFrame:
@@ -176,3 +191,18 @@ def both_exit_types(cfg: T.Config) -> list[T.Config]:
     return [replace(cfg, exit_type=t) for t in ("pnl_fixed", "pnl_trailing")] if cfg.exit_type == "all" else [cfg]
 
 
+def quantity_space(low: float = 0.01, high: float = 5.0, step: float = 0.01) -> dict[str, Any]:
+    """A range of the target quantity, to be sampled beside a strategy's own; a step of 0 draws from all of it."""
+    return {"qty_max_activo": Float(low, high, step if step > 0 else None)}
+
+
+def studies(bars: DataFrame, strategies: Iterable[Strategy], n_trials: int, cfg: T.Config, extra: dict[str, Any] | None = None, **options) -> DataFrame:
+    """All strategies with each exit type of ``cfg``: study, strategy, exit_type, trial, state, score, params (names and values as text).
+
+    A trial that made no trade in any symbol has the state "empty" and the score 0, any other "complete". Trials keep the order of their asking.
+    """
+    rows = []
+    for strategy, run in product(strategies, both_exit_types(cfg)):
+        told = optimise(bars, strategy, n_trials, run, extra=extra, told_in_order=True, **options)
+        rows += [(study_name(strategy.name, run.exit_type), strategy.name, run.exit_type, i, "complete" if score else "empty", score, reported(p)) for i, (p, score) in enumerate(told)]
+    return bars.sparkSession.createDataFrame(rows, "study string, strategy string, exit_type string, trial long, state string, score double, params map<string,string>")

@@ -99,8 +99,14 @@ class KinematicDivergence:
     combinacion_id, name = 2, "kinematic_divergence"
 
     def space(self, chosen):
-        window = chosen.get("sg_window", 11)
-        return {"sg_window": Int(11, 61, 2), "sg_poly": Int(2, min(5, window - 2)), "ols_window": Int(20, 200), "r2_min": Float(0.3, 0.95, 0.05), "z_thr": Float(1.0, 3.0, 0.1)}
+        # Fixed values.
+        return {
+            "sg_window": Int(7, 35, 2),
+            "sg_poly": Int(2, min(4, chosen.get("sg_window", 35) - 2)),
+            "ols_window": Int(30, 100, 5),
+            "r2_min": Float(0.60, 0.90, 0.05),
+            "z_thr": Float(1.2, 2.5, 0.1),
+        }
 
     def signals(self, bars, params, by=("symbol",)):
         w, close = series(*by), F.col("close")
@@ -126,7 +132,7 @@ class CrossoverMidpoint:
     combinacion_id, name = 3, "crossover_hl_ma"
 
     def space(self, chosen):
-        return {"hl_period": Int(5, 150), "ma_type": Choice(("sma", "ema", "alma"))}
+        return {"hl_period": Int(20, 150, 5), "ma_type": Choice(("sma", "ema", "alma"))}  # fixed values
 
     def signals(self, bars, params, by=("symbol",)):
         w, k, kind = series(*by), max(5, min(150, int(params.get("hl_period", 50)))), params.get("ma_type", "sma")
@@ -149,6 +155,10 @@ def _z_of_ema(df: DataFrame, w, params: dict, lookback: int) -> DataFrame:
     return df.withColumn("z_score", F.when(full == 0, 0.0).otherwise(safe_div(ema - I.sma(ema, w, z), full)))
 
 
+#: Ranges of both strategies on the z-score of an average (fixed values).
+PULLBACK_SPACE = {"ema_len": Int(10, 50, 5), "z_lookback": Int(20, 100, 10), "linreg_len": Int(50, 200, 10), "z_threshold": Float(1.5, 3.0, 0.1)}
+
+
 @register
 class ZScoreLinReg:
     """The z-score of an average comes back from an extreme while the price is beyond a regression line."""
@@ -156,7 +166,7 @@ class ZScoreLinReg:
     combinacion_id, name = 7, "zscore_linreg"
 
     def space(self, chosen):
-        return {"ema_len": Int(10, 50), "z_lookback": Int(20, 100), "linreg_len": Int(50, 200), "z_threshold": Float(1.0, 3.0, 0.1)}
+        return PULLBACK_SPACE
 
     def signals(self, bars, params, by=("symbol",)):
         w, thr, k = series(*by), float(params.get("z_threshold", 2.0)), int(params.get("linreg_len", 100))
@@ -173,7 +183,7 @@ class ZScorePullback:
     combinacion_id, name = 9, "zscore_pullback"
 
     def space(self, chosen):
-        return {"ema_len": Int(10, 50), "z_lookback": Int(20, 100), "linreg_len": Int(50, 200), "z_threshold": Float(1.0, 3.0, 0.1)}
+        return PULLBACK_SPACE
 
     def signals(self, bars, params, by=("symbol",)):
         w, thr, k = series(*by), float(params.get("z_threshold", 2.0)), int(params.get("linreg_len", 100))
@@ -189,7 +199,15 @@ class MomentumFusion:
     combinacion_id, name = 10, "momentum_fusion"
 
     def space(self, chosen):
-        return {"len_price": Int(20, 100), "len_vol": Int(20, 100), "alma_len": Int(8, 25), "adx_len": Int(10, 25), "adx_smooth": Int(10, 25), "adx_thr": Float(15.0, 35.0, 1.0)}
+        # Fixed values.
+        return {
+            "len_price": Int(40, 120, 2),
+            "len_vol": Int(10, 50, 2),
+            "alma_len": Int(8, 25),
+            "adx_len": Int(7, 21),
+            "adx_smooth": Int(7, 14),
+            "adx_thr": Int(16, 30, 2),
+        }
 
     def signals(self, bars, params, by=("symbol",)):
         w, close = series(*by), F.col("close")
@@ -230,7 +248,15 @@ class ZScoreNormalised:
     combinacion_id, name = 11, "zscore_normalised"
 
     def space(self, chosen):
-        return {"z_window": Int(20, 100), "z_thr": Float(1.5, 2.5, 0.1), "alma_window": Int(20, 100), "norm_window": Int(20, 100), "norm_thr": Float(2.0, 3.0, 0.1), "wait_bars": Int(1, 4)}
+        # Fixed values; ``signals`` clamps both thresholds and the wait to narrower bounds.
+        return {
+            "z_window": Int(10, 100, 5),
+            "z_thr": Float(1.3, 3.0, 0.1),
+            "alma_window": Int(5, 100, 5),
+            "norm_window": Int(50, 100, 5),
+            "norm_thr": Float(2.0, 3.0, 0.1),
+            "wait_bars": Int(1, 10),
+        }
 
     def signals(self, bars, params, by=("symbol",)):
         w, close = series(*by), F.col("close")

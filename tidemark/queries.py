@@ -19,7 +19,7 @@ from tidemark.operators import metrics as M
 from tidemark.operators import trades as T
 from tidemark.plans import report as R
 from tidemark.plans import search as S
-from tidemark.plans.strategies import armed, find
+from tidemark.plans.strategies import Choice, armed, discover, find
 from tidemark.sources.bars import between, event_ticks, lineitem_ticks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,6 +115,12 @@ def _asof(mode: str) -> Query:
     return run
 
 
+def _spaces(s: SparkSession, d: str) -> DataFrame:
+    """Every range that the strategies sample, with the widest bounds it can have."""
+    rows = [(k, name, float(r.low), float(r.high), float(r.step)) for k, made in discover().items() for name, r in made.space({}).items() if not isinstance(r, Choice)]
+    return s.createDataFrame(rows, "strategy int, parameter string, low double, high double, step double")
+
+
 def _nearest(s: SparkSession, d: str) -> DataFrame:
     ticks = event_ticks(s, d)
     points = ticks.select("symbol", "timestamp", F.col("tie.event_id").alias("event_id"))
@@ -168,6 +174,7 @@ def queries() -> dict[str, Query]:
         "asof_align_ref": _asof("reference"),
         "asof_align_safe": _asof("safe"),
         "nearest_snap": _nearest,
+        "search_spaces": _spaces,
         "dedup_ts": lambda s, d: B.dedup(event_ticks(s, d).withColumn("timestamp", F.date_trunc("minute", "timestamp").cast("timestamp_ntz")), F.col("tie")).select("symbol", "timestamp", F.col("tie.event_id").alias("event_id")),
         "null_handling": _nulls,
         "sma": _indicator(lambda: {"sma20": I.sma(C(), w(), 20), "sma3_min1": I.sma(C(), w(), 3, 1)}),
@@ -427,7 +434,13 @@ def oracle_sql() -> dict[str, str]:
     s["median_delta_check"] = f"{bars1}, {steps.format('h')} SELECT symbol, {pick(0.5)}::DOUBLE AS median_sec, {pick(0.5)} BETWEEN 2880 AND 4320 AS ok FROM l"
     for name, shift in (("ref", ""), ("safe", " + INTERVAL '1 hour'")):
         s[f"asof_align_{name}"] = f"{bars15}, {_bars('h', '1 hour')}, s AS (SELECT symbol, timestamp{shift} AS timestamp, close > open AS signal_long, close AS close_1h FROM h) SELECT q.symbol, q.timestamp, {_r('q.close')} AS close, coalesce(s.signal_long, false) AS signal_long, {_r('s.close_1h')} AS close_1h FROM q ASOF LEFT JOIN s ON q.symbol = s.symbol AND q.timestamp >= s.timestamp"
-    s["nearest_snap"] = f"{bars1}, e AS (SELECT symbol, timestamp, tie AS event_id FROM ticks WHERE tie % 10 = 0), x AS (SELECT e.*, p.timestamp AS a, (SELECT min(n.timestamp) FROM h n WHERE n.symbol = e.symbol AND n.timestamp >= e.timestamp) AS z FROM e ASOF LEFT JOIN h p ON e.symbol = p.symbol AND e.timestamp >= p.timestamp) SELECT symbol, timestamp, event_id, CASE WHEN a IS NULL OR z - timestamp < timestamp - a THEN coalesce(z, a) ELSE a END AS snap_ts FROM x"
+    s["nearest_snap"] = (
+        f"{bars1}, e AS (SELECT symbol, timestamp, tie AS event_id FROM ticks), "
+        "x AS (SELECT e.*, p.timestamp AS a, n.timestamp AS z FROM e ASOF LEFT JOIN h p ON e.symbol = p.symbol AND e.timestamp >= p.timestamp "
+        "ASOF LEFT JOIN h n ON e.symbol = n.symbol AND e.timestamp <= n.timestamp) "
+        "SELECT symbol, timestamp, event_id, CASE WHEN a IS NULL OR z - timestamp < timestamp - a THEN coalesce(z, a) ELSE a END AS snap_ts FROM x"
+    )
+    s["search_spaces"] = SPACES_SQL
     s["dedup_ts"] = "SELECT event_type AS symbol, date_trunc('minute', ts) AS timestamp, min(event_id) AS event_id FROM events GROUP BY ALL"
     s["null_handling"] = f"{_BASE}, zz AS (SELECT *, {_z('close', 20)} AS z FROM b) SELECT symbol, bar_idx, {_r('CASE WHEN z IS NOT NULL THEN greatest(least(z, 1.0), -1.0) END')} AS clipped, {_r('coalesce(z, 0)')} AS zeroed, z IS NOT NULL AS is_finite, coalesce(z > 0, false) AS filled FROM zz"
     s["sma"] = _select({"sma20": _guard("close", 20, "avg(close)"), "sma3_min1": f"avg(close) OVER {_rows(3)}"})
@@ -499,3 +512,16 @@ def oracle_sql() -> dict[str, str]:
     s["chart_candles"] = f"{_BASE} SELECT symbol, epoch(timestamp)::BIGINT AS t, round_even(open * 100, 0)::BIGINT AS o, round_even(high * 100, 0)::BIGINT AS h, round_even(low * 100, 0)::BIGINT AS l, round_even(close * 100, 0)::BIGINT AS c FROM b"
     s["chart_markers"] = f"{_BASE}, {ran}, ev AS (SELECT symbol, entry_time AS at, 'entry_' || type AS mark, seq, entry_price AS price FROM ex UNION ALL SELECT symbol, exit_time, 'exit_' || tipo_salida, seq, exit_price FROM ex) SELECT ev.symbol, epoch(ev.at)::BIGINT AS t, mark, seq::BIGINT AS seq, {_r('price')} AS price FROM ev JOIN b ON b.symbol = ev.symbol AND b.timestamp = ev.at WHERE b.bar_idx >= 20"
     return s
+
+
+#: Ranges that the strategies sample (fixed values).
+SPACES_SQL = """
+SELECT strategy::INTEGER AS strategy, parameter, low::DOUBLE AS low, high::DOUBLE AS high, step::DOUBLE AS step FROM (VALUES
+(2, 'sg_window', 7, 35, 2), (2, 'sg_poly', 2, 4, 1), (2, 'ols_window', 30, 100, 5), (2, 'r2_min', 0.60, 0.90, 0.05), (2, 'z_thr', 1.2, 2.5, 0.1),
+(3, 'hl_period', 20, 150, 5),
+(7, 'ema_len', 10, 50, 5), (7, 'z_lookback', 20, 100, 10), (7, 'linreg_len', 50, 200, 10), (7, 'z_threshold', 1.5, 3.0, 0.1),
+(9, 'ema_len', 10, 50, 5), (9, 'z_lookback', 20, 100, 10), (9, 'linreg_len', 50, 200, 10), (9, 'z_threshold', 1.5, 3.0, 0.1),
+(10, 'len_price', 40, 120, 2), (10, 'len_vol', 10, 50, 2), (10, 'alma_len', 8, 25, 1), (10, 'adx_len', 7, 21, 1), (10, 'adx_smooth', 7, 14, 1), (10, 'adx_thr', 16, 30, 2),
+(11, 'z_window', 10, 100, 5), (11, 'z_thr', 1.3, 3.0, 0.1), (11, 'alma_window', 5, 100, 5), (11, 'norm_window', 50, 100, 5), (11, 'norm_thr', 2.0, 3.0, 0.1), (11, 'wait_bars', 1, 10, 1)
+) AS t(strategy, parameter, low, high, step)
+"""
