@@ -112,12 +112,13 @@ def _scan(state: DataFrame, bars: DataFrame, by: tuple[str, ...], span: int, ser
     return met.withColumns({"hit": reason, "hit_price": F.col("sign") * price})
 
 
-def exits(sized: DataFrame, bars: DataFrame, by: tuple[str, ...] = ("symbol",), span: int = 256, series: tuple[str, ...] = ("symbol",)) -> DataFrame:
+def exits(sized: DataFrame, bars: DataFrame, by: tuple[str, ...] = ("symbol",), span: int = 64, series: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Add exit_idx, exit_time, exit_price, tipo_salida and sl_distance to every candidate.
 
     Stop loss before trailing stop before take profit; gaps fill at the open. Candidates
     without a hit in one span look at a span eight times as long; each round is a
-    checkpoint, and those left at the series' end close there.
+    checkpoint, and those left at the series' end close there. No round follows once all have a hit.
+    Every round reads ``bars``: hand over bars that are written or cheap to derive.
     """
     found, state = None, _levels(sized).withColumns({"at": F.col("entry_idx"), "best": F.col("sign") * F.col("entry_price")})
     own = sized.columns + ["sl_distance"]
@@ -138,6 +139,8 @@ def exits(sized: DataFrame, bars: DataFrame, by: tuple[str, ...] = ("symbol",),
         done = looked.where("x.hit is not null").select(*own, "x")
         found = done if found is None else found.unionByName(done)
         state = looked.where("x.hit is null").withColumns({"best": F.coalesce("reached", "best"), "at": F.col("at") + span}).drop("x", "reached")
+        if state.isEmpty():
+            break
         span *= 8
     ends = bars.groupBy(*series).agg(F.max_by(F.struct("timestamp", "close"), "bar_idx").alias("final"))
     closed = found.join(ends, list(series), "left")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import metrics as M
 from tidemark.operators import trades as T
 from tidemark.plans.strategies import Choice, Float, Int, Strategy
+from tidemark.session import cut
 
 #: Ranges of the engine's own exits (fixed values): low, high, step.
 EXIT_SPACE = {"exit_sl_pct": Float(15.0, 30.0, 2.5), "exit_tp_pct": Float(15.0, 80.0, 2.5), "exit_trail_act_pct": Float(10.0, 65.0, 2.5), "exit_trail_dist_pct": Float(2.5, 25.0, 2.5)}
@@ -115,6 +116,7 @@ def study_name(*parts: str) -> str:
 def run_trials(bars: DataFrame, strategy: Strategy, trials: list[tuple[int, dict[str, Any]]], cfg: T.Config) -> tuple[DataFrame, DataFrame]:
     """(metrics and score for each symbol and trial, executed trades). Symbols without trades score 0."""
     spark, by = bars.sparkSession, ("symbol", "trial")
+    bars = cut(bars)  # read by every set of signals, every round of exits, and the period
     groups: dict[str, list[int]] = {}
     settings, shared = [], {}
     for number, params in trials:

@@ -20,6 +20,7 @@ from tidemark.operators import trades as T
 from tidemark.plans import report as R
 from tidemark.plans import search as S
 from tidemark.plans.strategies import Choice, armed, discover, find
+from tidemark.session import cut
 from tidemark.sources.bars import between, event_ticks, lineitem_ticks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,7 +64,7 @@ def _signals(key: int, shown: tuple[str, ...]) -> Query:
 
 
 def _entries(s: SparkSession, d: str, cfg: T.Config = CFG) -> tuple[DataFrame, DataFrame]:
-    bars = hourly(s, d)
+    bars = cut(hourly(s, d))  # bars are few beside the ticks behind them, and every step from here reads them
     return T.position_size(T.candidates(find(3).signals(bars, PARAMS[3])), cfg), bars
 
 
