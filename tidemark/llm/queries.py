@@ -38,7 +38,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk_search": TOPK_SQL, "op9_substring_dedup": SUBSTRING_SQL}
+    return {"op2_topk_search": TOPK_SQL, "op8_suffix_dedup": SUFFIX_SQL, "op9_substring_dedup": SUBSTRING_SQL}
+
+
+#: Strings of 100 bytes by value; one that starts after its first place removes its bytes. Runs of removed bytes are islands.
+SUFFIX_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, dense_rank() OVER (ORDER BY doc_id NULLS FIRST) AS doc, doc_id,
+                  encode(coalesce(text, '')) AS x, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+s AS (SELECT r, doc, x, unnest(range(n - 99)) AS i FROM d WHERE n >= 100),
+k AS (SELECT r, doc, i, sha256(x[i + 1:i + 100]) AS h FROM s),
+f AS (SELECT h, min({'doc': doc, 'i': i}) AS first FROM k GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT k.r, k.i FROM k JOIN f USING (h) WHERE {'doc': k.doc, 'i': k.i} > f.first),
+q AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 100, true)::INTEGER AS fresh FROM hit),
+o AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM q),
+gone AS (SELECT r, min(i) AS a, max(i) + 100 AS b FROM o GROUP BY r, run),
+part AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS b FROM gone
+         UNION ALL SELECT r, max(gone.b), d.n FROM gone JOIN d USING (r) GROUP BY r, d.n),
+kept AS (SELECT r, string_agg(hex(d.x[part.a + 1:part.b]), '' ORDER BY part.a) AS x FROM part JOIN d USING (r) WHERE part.a < part.b GROUP BY r),
+c AS (SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM gone GROUP BY r)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(c.n_removed, 0)::BIGINT AS n_removed, coalesce(c.n_spans, 0)::BIGINT AS n_spans,
+       CASE WHEN c.r IS NULL THEN sha256(d.x) ELSE sha256(unhex(coalesce(kept.x, ''))) END AS kept_sha256
+FROM d LEFT JOIN c USING (r) LEFT JOIN kept USING (r)
+"""
 
 
 #: Windows of 35 words by value; a window that is counted twice removes its words.
