@@ -1,4 +1,4 @@
-"""op8 against its SQL, on the smallest tables and on rows of every odd kind."""
+"""op8, op9 and op10 against their SQL, on the smallest tables and on rows of every odd kind."""
 
 from pathlib import Path
 
@@ -11,19 +11,21 @@ DATA = Path("/root/testdata/sf0.001")
 PASSAGE = "the passage that several of the documents share, ünïcödé letters and all the rest of it, more than one hundred bytes "
 
 
-@pytest.fixture
-def small(spark, tmp_path):
-    texts = [PASSAGE + "one", "two " + PASSAGE, PASSAGE * 3, PASSAGE + "x" * 350 + PASSAGE, "y" * 100, "y" * 99, None, "", PASSAGE]
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    return tmp_path, f"{tmp_path}/documents.parquet/*.parquet"
+@pytest.fixture(scope="module")
+def small(spark, tmp_path_factory):
+    texts = [PASSAGE + "one", "two " + PASSAGE, PASSAGE * 3, PASSAGE + "x" * 350 + PASSAGE, "y" * 100, "y" * 99, None, "", PASSAGE, PASSAGE.upper(), "a\tb", " \n", "one " * 40]
+    folder = tmp_path_factory.mktemp("small")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(folder / "documents.parquet"))
+    return folder, f"{folder}/documents.parquet/*.parquet"
 
 
+@pytest.mark.parametrize("name", ["op8_suffix_dedup", "op9_substring_dedup", "op10_simhash"])
 @pytest.mark.parametrize("which", ["small", "whole"])
-def test_op8_matches_sql(spark, small, which):
+def test_matches_sql(spark, small, which, name):
     folder, files = small if which == "small" else (DATA, str(DATA / "documents.parquet"))
-    got = queries()["op8_suffix_dedup"](spark, str(folder))
+    got = queries()[name](spark, str(folder))
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{files}'")
-    want = con.execute(oracle_sql()["op8_suffix_dedup"])
+    want = con.execute(oracle_sql()[name])
     assert [c[0] for c in want.description] == got.columns
     assert sorted(tuple(r) for r in got.collect()) == sorted(want.fetchall())

@@ -12,6 +12,7 @@ from tidemark.llm.mixing import mix
 from tidemark.llm.debruijn_dedup import substring_dedup
 from tidemark.llm.quality import quality
 from tidemark.llm.simhash_dedup import op10_simhash
+from tidemark.llm.simhash_sql import SIMHASH_SQL
 from tidemark.llm.suffix_dedup import suffix_dedup
 from tidemark.llm.token_shards import token_shards
 from tidemark.llm.topk_search import top_k
@@ -38,7 +39,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk_search": TOPK_SQL, "op8_suffix_dedup": SUFFIX_SQL, "op9_substring_dedup": SUBSTRING_SQL}
+    return {"op2_topk_search": TOPK_SQL, "op8_suffix_dedup": SUFFIX_SQL, "op9_substring_dedup": SUBSTRING_SQL, "op10_simhash": SIMHASH_SQL}
 
 
 #: Strings of 100 bytes by value; one that starts after its first place removes its bytes. Runs of removed bytes are islands.
