@@ -201,6 +201,13 @@ def test_sources(spark, tmp_path):
         got = src.normalise(src.read_feather(spark, f"{path}/*") if name.endswith("feather") else src.scan(spark, path))
         assert got.count() == 20
         assert dict(got.dtypes)["timestamp"] == "timestamp_ntz"
+    folder = f"file://{tmp_path}/b.feather"
+    src.write(bars.repartition(3), folder)
+    src.write(bars.limit(7).repartition(2), folder, overwrite=True)
+    assert src.read_feather(spark, f"{folder}/*").count() == 7
+    assert not [f for f in (tmp_path / "b.feather").iterdir() if f.suffix != ".feather"]
+    shape = ", ".join(f"{name} {kind}" for name, kind in bars.dtypes)
+    assert src.scan(spark, str(tmp_path / "a.csv"), shape).dtypes == bars.dtypes
     with pytest.raises(ValueError, match="unsupported"):
         src.scan(spark, "x.txt")
     with pytest.raises(ValueError, match="no time column"):
@@ -210,6 +217,12 @@ def test_sources(spark, tmp_path):
     assert src.bar_path("r", "ndx", "5m").endswith("NASDAQ_ohlcv_5m.parquet")
     plan = src.between(src.scan(spark, str(tmp_path / "a.parquet")), "2024-01-01", "2024-01-02")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(timestamp), GreaterThanOrEqual(timestamp" in plan
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        assert src.resolve(root, "ndx", "5m") is None
+    src.write(bars, src.bar_path(str(tmp_path), "ndx", "5m", "csv"))
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        assert src.resolve(root, "ndx", "5m") == src.bar_path(root, "ndx", "5m", "csv")
+        assert [r.fmt for r in src.inventory(spark, root, ["ndx"], ["5m"]).where("present").collect()] == ["csv"]
     reg = src.Registry()
     reg.get_or_load("A", "5m", lambda: bars)
     assert reg.stats() == {"frames": 1, "assets": 1}

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import io
 import os
 from dataclasses import dataclass, field
+from itertools import chain
 
+import pyarrow as pa
+from pyarrow import feather, fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from tidemark.functions.scalar import is_true  # noqa: F401  re-exported for readers of signals
+from pyspark.sql.types import StructType
 
 #: Names that a time column may have, the first found wins (fixed values).
 TIME_COLUMNS = ("timestamp", "datetime", "date", "time")
@@ -17,36 +21,53 @@ PARQUET, FEATHER, CSV = (".parquet", ".pq"), (".feather", ".fthr"), (".csv",)
 ALIASES = {"SP": "SP500", "NDX": "NASDAQ"}
 
 
+def _located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI and the path on it; a path without a scheme is a local or mounted folder."""
+    return fs.FileSystem.from_uri(path if ":/" in path else os.path.abspath(path))
+
+
+def exists(path: str) -> bool:
+    where, name = _located(path)
+    return where.get_file_info(name).type != fs.FileType.NotFound
+
+
 def read_feather(spark: SparkSession, path: str) -> DataFrame:
-    """Arrow IPC files, each read on an executor; ``path`` may be a glob that Spark's file listing understands."""
-    import io
+    """Arrow IPC files, each read on an executor; ``path`` may be a glob that Spark's file listing understands.
 
-    import pyarrow.feather as feather
+    The first file gives the schema, of which alone the driver hears; the others are cast to it.
+    """
+    files = spark.read.format("binaryFile").load(path).select("content")
 
-    files = spark.read.format("binaryFile").load(path)
-    first = files.limit(1).select("content").collect()
+    def described(batches):
+        for batch in batches:
+            schemas = [feather.read_table(io.BytesIO(c)).schema.serialize().to_pybytes() for c in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(schemas, pa.binary())], names=["schema"])
+
+    first = files.limit(1).mapInArrow(described, "schema binary").collect()
     if not first:
         raise ValueError(f"no file at {path}")
-    empty = feather.read_table(io.BytesIO(bytes(first[0].content))).slice(0, 0)
-    schema = spark.createDataFrame(empty).schema
+    known = pa.ipc.read_schema(pa.py_buffer(bytes(first[0].schema)))
 
     def rows(batches):
         for batch in batches:
             for content in batch.column(0).to_pylist():
-                yield from feather.read_table(io.BytesIO(content)).cast(empty.schema).to_batches()
+                yield from feather.read_table(io.BytesIO(content)).cast(known).to_batches()
+
+    return files.mapInArrow(rows, spark.createDataFrame(known.empty_table()).schema)
 
-    return files.select("content").mapInArrow(rows, schema)
 
+def scan(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+    """A file or folder of bars by its suffix: Parquet, Feather or CSV; ``ValueError`` for any other.
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
-    """A file or folder of bars by its suffix: Parquet, Feather or CSV; ``ValueError`` for any other."""
+    Types of a CSV are inferred by a pass over it, unless ``schema`` names them.
+    """
     suffix = os.path.splitext(path.rstrip("/"))[1].lower()
     if suffix in PARQUET:
         return spark.read.parquet(path)
     if suffix in FEATHER:
         return read_feather(spark, path)
     if suffix in CSV:
-        return spark.read.csv(path, header=True, inferSchema=True)
+        return spark.read.csv(path, header=True, inferSchema=schema is None, schema=schema)
     raise ValueError(f"unsupported format: {suffix or path}")
 
 
@@ -96,12 +117,12 @@ def bar_path(root: str, asset: str, suffix: str, ext: str = "parquet") -> str:
 def resolve(root: str, asset: str, suffix: str) -> str | None:
     """The first existing file by preference: Parquet, Feather, CSV."""
     paths = (bar_path(root, asset, suffix, e) for e in ("parquet", "feather", "csv"))
-    return next((p for p in paths if os.path.exists(p)), None)
+    return next((p for p in paths if exists(p)), None)
 
 
 def inventory(spark: SparkSession, root: str, assets: list[str], suffixes: list[str]) -> DataFrame:
     """asset, suffix, fmt, path, present for every combination."""
-    rows = [(a, s, e, p := bar_path(root, a, s, e), os.path.exists(p)) for a in assets for s in suffixes for e in ("parquet", "feather", "csv")]
+    rows = [(a, s, e, p := bar_path(root, a, s, e), exists(p)) for a in assets for s in suffixes for e in ("parquet", "feather", "csv")]
     return spark.createDataFrame(rows, "asset string, suffix string, fmt string, path string, present boolean")
 
 
@@ -121,27 +142,31 @@ def write(df: DataFrame, path: str, overwrite: bool = False, partition_by: tuple
 
 
 def write_feather(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    if os.path.exists(path):
+    """One file for each partition that has rows, batch by batch; a task run again replaces its file."""
+    where, base = _located(path)
+    if exists(path):
         if not overwrite:
             return
-        for name in os.listdir(path):
-            os.remove(os.path.join(path, name))
-    os.makedirs(path, exist_ok=True)
+        where.delete_dir_contents(base)
+    where.create_dir(base, recursive=True)
 
     def rows(batches):
-        import pyarrow as pa
-        import pyarrow.feather as feather
-        from pyspark import TaskContext
-
-        held = list(batches)
-        if held:
-            part = TaskContext.get().partitionId()
-            name = f"{path}/part-{part:05d}.feather"
-            feather.write_feather(pa.Table.from_batches(held), f"{name}.tmp", compression="lz4")
-            os.replace(f"{name}.tmp", name)
-            yield pa.RecordBatch.from_arrays([pa.array([name])], names=["file"])
-
-    df.mapInArrow(rows, "file string").collect()
+        batches = iter(batches)
+        head = next(batches, None)
+        if head is None:
+            return
+        own, base = _located(path)
+        task = TaskContext.get()
+        name, draft = f"{base}/part-{task.partitionId():05d}.feather", f"{base}/_part-{task.taskAttemptId()}"
+        with own.open_output_stream(draft) as sink, pa.ipc.new_file(sink, head.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+            for batch in chain((head,), batches):
+                out.write_batch(batch)
+        if own.get_file_info(name).type != fs.FileType.NotFound:
+            own.delete_file(name)
+        own.move(draft, name)
+        yield pa.RecordBatch.from_arrays([pa.array([1])], names=["files"])
+
+    df.mapInArrow(rows, "files long").agg(F.sum("files")).collect()
 
 
 @dataclass
