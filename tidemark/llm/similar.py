@@ -11,8 +11,9 @@ end of the order and is in a prefix only where a set has hardly anything else.
 Equal sets collapse to one representative first. A shingle's group is not expanded into its
 pairs: all members are compared with one pivot, the member with the fewest rarer
 shingles, to which whatever is similar to anything in the group mostly is similar too. What
-is still apart is compared outside the group's largest part only, if sizes and places leave
-the similarity possible. Whole sets verify every link. Hot keys are dealt over salts.
+is still apart is compared outside the group's largest part only, and there by cells: members of
+one size and one place of the shingle, which are paired only where these leave the
+similarity possible. Whole sets verify every link. Hot keys are dealt over salts.
 
 Defined results: a null text counts as empty; texts without words are equal to each other;
 fewer words than a shingle make one shingle of them all; a very long text is one set like any
@@ -36,7 +37,7 @@ from tidemark.llm import kernels as K
 from tidemark.llm.components import components
 from tidemark.llm.rows import others, row_key
 from tidemark.llm.simhash_dedup import fingerprint_links, fold_bits
-from tidemark.llm.skew import join_counted, matching
+from tidemark.llm.skew import join_counted, join_salted, matching
 from tidemark.llm.store import discard, materialize
 
 #: Rounds that compare each group's members with one pivot before parts are compared across.
@@ -168,20 +169,44 @@ def pivot_pairs(members: DataFrame, similarity: float, turn: int) -> DataFrame:
     return out
 
 
+def _cell() -> Column:
+    return F.xxhash64("key", "m.size", "m.pos")
+
+
+def _partners(open_: DataFrame, similarity: float) -> DataFrame:
+    """Written (x, y, spread): cells of one key that sizes and places let be similar, x with members outside the largest part.
+
+    A cell is what the members of a key with one size and place make up, so infeasible members are never paired,
+    only their cells are; and of these only ones whose sizes lie in the same or in neighbouring classes.
+    """
+    kind = F.floor(F.log(F.col("m.size")) / -F.log(F.lit(similarity))).cast("int").alias("kind")
+    cells = materialize(open_.groupBy("key", _cell().alias("cell"), kind, F.struct("m.size", "m.pos").alias("at")).agg(F.count("*").alias("n"), F.count_if(F.col("root") != F.col("main")).alias("outside"), F.min("root").alias("lo"), F.max("root").alias("hi")))
+    left = cells.where("outside > 0").select("key", F.explode(F.sequence(F.col("kind") - 1, F.col("kind") + 1)).alias("kind"), F.col("cell").alias("x"), F.col("at").alias("x_at"), "outside", F.col("lo").alias("x_lo"), F.col("hi").alias("x_hi"))
+    right = cells.select("key", "kind", F.col("cell").alias("y"), F.col("at").alias("y_at"), "n", "lo", "hi")
+    several = (F.col("lo") != F.col("hi")) | (F.col("x_lo") != F.col("x_hi")) | (F.col("lo") != F.col("x_lo"))
+    met = left.join(right, ["key", "kind"]).where(several & _possible(similarity, "x_at", "y_at"))
+    out = materialize(met.select("x", "y", F.greatest(F.lit(1), F.ceil(F.col("outside").cast("double") * F.col("n") / COMPARED)).cast("int").alias("spread")))
+    discard(cells)
+    return out
+
+
 def across_pairs(members: DataFrame, similarity: float) -> DataFrame:
     """Written (a, b): pairs in different parts of a group; ``a`` is never in its largest part."""
     by_part = members.groupBy("key", "root").agg(F.count("*").alias("c"))
     groups = by_part.groupBy("key").agg(F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("n"), F.count("*").alias("parts")).where("parts > 1")
-    salts = F.greatest(F.lit(1), F.ceil(F.col("n").cast("double") * (F.col("n") - F.col("most.c")) / COMPARED)).cast("long")
-    groups = materialize(groups.select("key", F.col("most.root").alias("main"), F.least(salts, F.col("n")).cast("int").alias("salts"), "n"))
+    groups = materialize(groups.select("key", F.col("most.root").alias("main"), "n"))
     open_ = materialize(join_counted(members, groups, "key", "m.rep"))
-    left = open_.where("root <> main").select("key", F.col("m").alias("x"), F.col("root").alias("x_root"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    right = open_.select("key", F.col("m").alias("y"), F.col("root").alias("y_root"), (F.col("root") == F.col("main")).alias("in_main"), F.pmod(F.xxhash64("m.rep"), F.col("salts")).cast("int").alias("salt"))
+    partners = _partners(open_, similarity)
+    ends = materialize(partners.select(F.col("x").alias("cell")).unionByName(partners.select(F.col("y").alias("cell"))).distinct())
+    active = materialize(matching(open_.withColumn("cell", _cell()), ends, "cell"))
+    deal = F.pmod(F.xxhash64("y.rep"), F.col("spread")).cast("int")
+    left = join_salted(active.where("root <> main"), partners.withColumnRenamed("x", "cell"), ["cell"], "m.rep").select(F.col("cell").alias("cx"), F.col("y").alias("cy"), F.col("m").alias("x"), F.col("root").alias("x_root"), F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("turn"))
+    right = join_salted(active.withColumn("y", F.col("m")), partners.select("x", F.col("y").alias("cell"), "spread"), ["cell"], "m.rep").select(F.col("x").alias("cx"), F.col("cell").alias("cy"), "y", F.col("root").alias("y_root"), (F.col("root") == F.col("main")).alias("in_main"), deal.alias("turn"))
     once = F.col("in_main") | (F.col("x.rep") < F.col("y.rep"))
-    pairs = left.join(right, ["key", "salt"]).where((F.col("x_root") != F.col("y_root")) & once & _possible(similarity, "x", "y"))
+    pairs = left.join(right, ["cx", "cy", "turn"]).where((F.col("x_root") != F.col("y_root")) & once & _possible(similarity, "x", "y"))
     out = materialize(pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
-    discard(groups)
-    discard(open_)
+    for table in (groups, open_, partners, ends, active):
+        discard(table)
     return out
 
 
