@@ -37,7 +37,7 @@ def one_trade(spark, ohlc, side="long", **cfg):
     bars = frame(spark, ohlc)
     sig = bars.withColumns({"signal_long": (F.col("bar_idx") == 0) & F.lit(side == "long"), "signal_short": (F.col("bar_idx") == 0) & F.lit(side == "short")})
     c = replace(T.Config(), **cfg)  # margin 75, one unit: 20 % are 15 points
-    return T.exits(T.position_size(T.candidates(sig), c), bars, span=2).collect()
+    return T.exits(T.position_size(T.candidates(sig), c), bars).collect()
 
 
 @pytest.mark.parametrize(
@@ -83,7 +83,7 @@ def test_exits_and_selection_match_a_loop(spark, kind):
     bars = frame(spark, b)
     sides = spark.createDataFrame([(i, bool(x == 1), bool(x == 2)) for i, x in enumerate(side.tolist())], "bar_idx long, signal_long boolean, signal_short boolean")
     cfg = replace(T.Config(), exit_type=kind, sl_pct=25.0, tp_pct=40.0, saldo_inicial=1e6)
-    exited = T.exits(T.position_size(T.candidates(bars.join(sides, "bar_idx")), cfg), bars, span=4)
+    exited = T.exits(T.position_size(T.candidates(bars.join(sides, "bar_idx")), cfg), bars)
     got = {r.entry_idx: (r.exit_idx, round(r.exit_price, 9), r.tipo_salida) for r in exited.collect()}
     s = T.exit_settings({}, cfg) | {"trailing": kind == "pnl_trailing"}
     want = {i: loop_exit(b, i, side[i] == 1, 1.0, 75.0, s) for i in range(len(b) - 1) if side[i]}
@@ -149,11 +149,12 @@ def test_indicators_match_pandas(spark):
     b = walk(300, 9)
     df, w = frame(spark, b), B.series()
     c = F.col("close")
-    got = df.select("bar_idx", I.sma(c, w, 20).alias("sma"), I.ewm(c, w, span=20).alias("ema"), I.ewm_bounded(c, w, 2 / 21).alias("ema2"), I.rolling_std(c, w, 10).alias("sd"), I.alma(c, w, 9).alias("alma"), I.savgol(c, w, 11, 3, 1).alias("sg"), *[v.alias(k) for k, v in I.ols(c, F.col("bar_idx"), w, 30).items()]).orderBy("bar_idx").toPandas()
+    df = I.ewm(df, {"ema": c}, span=20)
+    got = df.select("bar_idx", "ema", I.sma(c, w, 20).alias("sma"), I.rolling_std(c, w, 10).alias("sd"), I.alma(c, w, 9).alias("alma"), I.savgol(c, w, 11, 3, 1).alias("sg"), *[v.alias(k) for k, v in I.ols(c, F.col("bar_idx"), w, 30).items()]).orderBy("bar_idx").toPandas()
     s = pd.Series(b[:, 3])
     dot = lambda k: s.rolling(len(k)).apply(lambda x: x @ k, raw=True)
     line = lambda f: s.rolling(30).apply(lambda y: f(np.polyfit(np.arange(30), y, 1), y), raw=True)
-    want = {"sma": s.rolling(20).mean(), "ema": s.ewm(span=20).mean(), "ema2": s.ewm(span=20).mean(), "sd": s.rolling(10).std(), "alma": dot(I.alma_weights(9)), "sg": dot(I.savgol_weights(11, 3, 1)), "slope": line(lambda p, y: p[0]), "value": line(lambda p, y: p[0] * 29 + p[1]), "r2": line(lambda p, y: np.corrcoef(np.arange(30), y)[0, 1] ** 2)}
+    want = {"sma": s.rolling(20).mean(), "ema": s.ewm(span=20).mean(), "sd": s.rolling(10).std(), "alma": dot(I.alma_weights(9)), "sg": dot(I.savgol_weights(11, 3, 1)), "slope": line(lambda p, y: p[0]), "value": line(lambda p, y: p[0] * 29 + p[1]), "r2": line(lambda p, y: np.corrcoef(np.arange(30), y)[0, 1] ** 2)}
     for name, series in want.items():
         assert np.allclose(got[name].astype(float), series, equal_nan=True, atol=1e-8), name
 

@@ -2,7 +2,8 @@
 
 ``w`` is a window spec partitioned by the series' keys and ordered by time. A warm-up is
 null. All builders share one partitioning and order, so Catalyst plans one exchange
-and one sort for any number of them; none uses a Python function.
+and one sort for any number of them; none uses a Python function. ``adx``, ``atr_wilder`` and the
+exponential means (``scan.ewm``) take bars instead and split a series over chunks.
 """
 
 from __future__ import annotations
@@ -10,12 +11,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.internal import InternalFunction
 
 from tidemark.functions.scalar import clip, is_true, safe_div
+from tidemark.functions.scan import CHUNK, affine_scan, core, ewm, haloed
 
 
 def _last(w: WindowSpec, k: int) -> WindowSpec:
@@ -50,22 +51,6 @@ def rolling_max(x: Column, w: WindowSpec, k: int) -> Column:
     return _full(x, w, k, F.max(x).over(_last(w, k)))
 
 
-def ewm(x: Column, w: WindowSpec, span: float | None = None, alpha: float | None = None, least: int = 1) -> Column:
-    """Exponentially weighted mean with normalised weights; null until ``least`` values were seen."""
-    a = 2.0 / (span + 1.0) if alpha is None else alpha
-    seen = F.count(x).over(w.rowsBetween(W.unboundedPreceding, 0))
-    return F.when(x.isNotNull() & (seen >= least), InternalFunction.ewm(x, a, False).over(w))
-
-
-def ewm_bounded(x: Column, w: WindowSpec, alpha: float, tolerance: float = 1e-15) -> Column:
-    """``ewm`` from public functions only: the tail of weights under ``tolerance`` is left out. Slower for small alpha."""
-    k = max(1, math.ceil(math.log(tolerance) / math.log1p(-alpha))) if alpha < 1 else 1
-    values = F.collect_list(x).over(_last(w, k))
-    top = F.aggregate(values, F.lit(0.0), lambda acc, v: acc * (1 - alpha) + v)
-    weight = (1 - F.pow(F.lit(1 - alpha), F.size(values))) / alpha
-    return F.when(x.isNotNull(), top / weight)
-
-
 def true_range(high: Column, low: Column, close: Column, w: WindowSpec) -> Column:
     before = prev(close, w)
     return F.greatest(high - low, F.abs(high - before), F.abs(low - before))
@@ -76,13 +61,32 @@ def directional_moves(high: Column, low: Column, w: WindowSpec) -> tuple[Column,
     return F.when((up > down) & (up > 0), up).otherwise(0.0), F.when((down > up) & (down > 0), down).otherwise(0.0)
 
 
-def adx(high: Column, low: Column, close: Column, w: WindowSpec, length: int, smooth: int) -> Column:
-    plus, minus = directional_moves(high, low, w)
-    a = 1.0 / length
-    atr = ewm(true_range(high, low, close, w), w, alpha=a, least=length)
-    di_plus, di_minus = (safe_div(ewm(m, w, alpha=a, least=length), atr) * 100 for m in (plus, minus))
-    dx = safe_div(F.abs(di_plus - di_minus), di_plus + di_minus) * 100
-    return ewm(dx, w, alpha=1.0 / smooth, least=smooth)
+def adx(df: DataFrame, length: int, smooth: int, by: tuple[str, ...] = ("symbol",), chunk: int = CHUNK) -> DataFrame:
+    """Add ``adx`` to bars of dense ``bar_idx``; a series may lie in many chunks."""
+    columns = [c for c in df.columns if c != "adx"]
+    spread, w = haloed(df, 1, by, most=chunk)
+    plus, minus = directional_moves(F.col("high"), F.col("low"), w)
+    moved = core(spread.withColumns({"_tr": true_range(F.col("high"), F.col("low"), F.col("close"), w), "_up": plus, "_dn": minus}))
+    means = {"_atr": F.col("_tr"), "_pdm": F.col("_up"), "_mdm": F.col("_dn")}
+    smoothed = ewm(moved, means, alpha=1.0 / length, least=length, by=by, most=chunk)
+    up, down = (safe_div(F.col(c), F.col("_atr")) * 100 for c in ("_pdm", "_mdm"))
+    directed = smoothed.withColumn("_dx", safe_div(F.abs(up - down), up + down) * 100)
+    return ewm(directed, {"adx": F.col("_dx")}, alpha=1.0 / smooth, least=smooth, by=by, most=chunk).select(*columns, "adx")
+
+
+def atr_wilder(df: DataFrame, period: int, by: tuple[str, ...] = ("symbol",), chunk: int = CHUNK) -> DataFrame:
+    """Add ``atr``: the mean of the first ``period`` true ranges, then each bar moves it by one part in ``period``; null before."""
+    columns = [c for c in df.columns if c != "atr"]
+    spread, w = haloed(df, 1, by, most=chunk)
+    ranged = core(spread.withColumn("_tr", true_range(F.col("high"), F.col("low"), F.col("close"), w)))
+    seeds = ranged.where(F.col("bar_idx") < period).groupBy(*by).agg(F.avg("_tr").alias("_seed"))  # a row for each series
+    at = F.col("bar_idx")
+    add = F.when(at < period - 1, 0.0).when(at == period - 1, F.col("_seed")).otherwise(F.col("_tr") / period)
+    seeded = ranged.join(seeds, list(by)).withColumn("_add", add)
+    if period <= 1:
+        return seeded.select(*columns, F.col("_tr").alias("atr"))
+    moved = affine_scan(seeded, {"atr": (F.col("_add"), (period - 1) / period)}, by, most=chunk)
+    return moved.select(*columns, F.when(at >= period - 1, F.col("atr")).alias("atr"))
 
 
 def weighted(x: Column, w: WindowSpec, weights: np.ndarray) -> Column:

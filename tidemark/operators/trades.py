@@ -14,10 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.functions.scalar import minutes_between, safe_div
-from tidemark.session import cut
+from tidemark.operators.first_hit import extremes, first_hits
+from tidemark.operators.selection import SHORT, chosen
 
 
 @dataclass(frozen=True)
@@ -89,63 +89,29 @@ def _levels(sized: DataFrame) -> DataFrame:
     return df.withColumn("sl_distance", F.when(F.col("sl_distance") > 0, F.col("sl_distance")).otherwise(F.col("entry_price") * 0.01))
 
 
-def _scan(state: DataFrame, bars: DataFrame, by: tuple[str, ...], span: int, series: tuple[str, ...]) -> DataFrame:
-    """Each candidate's next ``span`` bars, with what its rules make of them.
+def exits(sized: DataFrame, bars: DataFrame, by: tuple[str, ...] = ("symbol",), series: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Add exit_idx, exit_time, exit_price, tipo_salida and sl_distance to every candidate.
 
-    Bars are numbered in blocks of ``span``; a candidate meets two of them by an equality
-    join, so the join's size follows candidates times span, whatever the series' length.
+    Stop loss before trailing stop before take profit; gaps fill at the open. Those without a hit close at the
+    series' end. ``bars`` is read twice: hand over bars that are written or cheap to derive.
     """
-    block = lambda c: F.floor(c / span).cast("long")
-    near = state.withColumn("block", F.explode(F.sequence(block(F.col("at") + 1), block(F.col("at") + span))))
-    ohlc = bars.select(*series, F.col("bar_idx"), "timestamp", "open", "high", "low", "close", block(F.col("bar_idx")).alias("block"))
-    met = near.join(ohlc, [*series, "block"]).where((F.col("bar_idx") > F.col("at")) & (F.col("bar_idx") <= F.col("at") + span))
-    long = F.col("sign") > 0
-    met = met.withColumns({"s_open": F.col("sign") * F.col("open"), "s_fav": F.when(long, F.col("high")).otherwise(-F.col("low")), "s_adv": F.when(long, F.col("low")).otherwise(-F.col("high"))})
-    w = W.partitionBy(*by, "entry_idx").orderBy("bar_idx")
-    met = met.withColumn("best_after", F.greatest("best", F.max("s_fav").over(w.rowsBetween(W.unboundedPreceding, 0))))
-    met = met.withColumn("best_before", F.coalesce(F.lag("best_after").over(w), F.col("best")))
-    stop = F.col("best_after") - F.col("s_dist")
-    met = met.withColumns({"active_before": F.col("best_before") >= F.col("s_act"), "active_after": F.col("best_after") >= F.col("s_act"), "s_stop": stop})
-    trail = F.col("trailing") & F.col("active_after") & (F.col("s_adv") <= stop)
-    reason = F.when(F.col("s_adv") <= F.col("s_sl"), "SL").when(trail, "TRAILING_STOP").when(F.col("s_fav") >= F.col("s_tp"), "TP")
-    price = F.when(reason == "SL", F.least("s_open", "s_sl")).when(reason == "TRAILING_STOP", F.when(F.col("active_before"), F.least(F.col("s_open"), stop)).otherwise(stop)).when(reason == "TP", F.col("s_tp"))
-    return met.withColumns({"hit": reason, "hit_price": F.col("sign") * price})
+    tree, top = extremes(bars, series)
+    state = _levels(sized).withColumn("best", F.col("sign") * F.col("entry_price"))
+    return _closed(first_hits(state, tree, top, series), bars, sized.columns + ["sl_distance"], series)
 
 
-def exits(sized: DataFrame, bars: DataFrame, by: tuple[str, ...] = ("symbol",), span: int = 64, series: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Add exit_idx, exit_time, exit_price, tipo_salida and sl_distance to every candidate.
-
-    Stop loss before trailing stop before take profit; gaps fill at the open. Candidates
-    without a hit in one span look at a span eight times as long; each round is a
-    checkpoint, and those left at the series' end close there. No round follows once all have a hit.
-    Every round reads ``bars``: hand over bars that are written or cheap to derive.
-    """
-    found, state = None, _levels(sized).withColumns({"at": F.col("entry_idx"), "best": F.col("sign") * F.col("entry_price")})
-    own = sized.columns + ["sl_distance"]
-    keys = [*by, "entry_idx"]
-    longest = bars.agg(F.max("bar_idx")).collect()[0][0] or 0
-    reach = 0
-    while True:
-        met = _scan(state, bars, by, span, series)
-        first = met.groupBy(*keys).agg(F.min_by(F.struct("bar_idx", "timestamp", "hit_price", "hit"), F.when(F.col("hit").isNotNull(), F.col("bar_idx"))).alias("x"), F.max("best_after").alias("reached"))
-        looked = state.join(first, keys, "left")
-        reach += span
-        done = looked.where("x.hit is not null") if reach <= longest else looked
-        done = done.select(*own, "x")
-        if reach > longest:
-            found = done if found is None else found.unionByName(done)
-            break
-        looked = cut(looked)
-        done = looked.where("x.hit is not null").select(*own, "x")
-        found = done if found is None else found.unionByName(done)
-        state = looked.where("x.hit is null").withColumns({"best": F.coalesce("reached", "best"), "at": F.col("at") + span}).drop("x", "reached")
-        if state.isEmpty():
-            break
-        span *= 8
+def _closed(hits: DataFrame, bars: DataFrame, own: list[str], series: tuple[str, ...]) -> DataFrame:
+    """``own`` columns with the exit of each hit; the last bar's close where there is none."""
     ends = bars.groupBy(*series).agg(F.max_by(F.struct("timestamp", "close"), "bar_idx").alias("final"))
-    closed = found.join(ends, list(series), "left")
-    hit = F.col("x.hit").isNotNull()
-    return closed.select(*own, F.when(hit, F.col("x.bar_idx")).otherwise(F.col("end_idx")).alias("exit_idx"), F.when(hit, F.col("x.timestamp")).otherwise(F.col("final.timestamp")).alias("exit_time"), F.when(hit, F.col("x.hit_price")).otherwise(F.col("final.close")).alias("exit_price"), F.coalesce("x.hit", F.lit("END_OF_DATA")).alias("tipo_salida"))
+    hit = F.col("hit").isNotNull()
+    pick = lambda inside, other: F.when(hit, F.col(inside)).otherwise(F.col(other))
+    return hits.join(ends, list(series), "left").select(
+        *own,
+        pick("hit.idx", "end_idx").alias("exit_idx"),
+        pick("hit.timestamp", "final.timestamp").alias("exit_time"),
+        pick("hit.price", "final.close").alias("exit_price"),
+        F.coalesce("hit.reason", F.lit("END_OF_DATA")).alias("tipo_salida"),
+    )
 
 
 def trailing_trace(exited: DataFrame, bars: DataFrame, by: tuple[str, ...] = ("symbol",), series: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -190,26 +156,12 @@ def override_exits(exited: DataFrame, decide: Callable[[pd.DataFrame], pd.DataFr
     return exited.mapInPandas(rows, exited.schema)
 
 
-def nonoverlapping(exited: DataFrame, by: tuple[str, ...] = ("symbol",), block_bars: int = 0) -> DataFrame:
+def nonoverlapping(exited: DataFrame, by: tuple[str, ...] = ("symbol",), block_bars: int = 0, short: int = SHORT) -> DataFrame:
     """Of each series' candidates the greedy sequence: none opens before, on, or within block_bars after the last exit."""
-    slim = exited.select(*by, "entry_idx", "exit_idx")
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("entry_idx", kind="stable")
-        free, keep = -1, []
-        for entry, stop in zip(pdf["entry_idx"].tolist(), pdf["exit_idx"].tolist(), strict=True):
-            take = entry > free
-            keep.append(take)
-            if take:
-                free = stop + max(block_bars, 0)
-        out = pdf[keep].copy()
-        out["seq"] = range(1, len(out) + 1)
-        return out
-
-    schema = StructType([*slim.schema.fields, StructField("seq", LongType())])
-    chosen = slim.groupBy(*by).applyInPandas(pick, schema).select(*by, "entry_idx", "seq")
+    slim = exited.select(*by, "entry_idx", (F.col("exit_idx") + max(block_bars, 0)).alias("free"))
     # A trade opens on one side of a bar, so keys and entry name it.
-    return exited.join(chosen, [*by, "entry_idx"]).withColumn("duracion_min", minutes_between(F.col("entry_time"), F.col("exit_time")))
+    taken = exited.join(chosen(slim, by, short), [*by, "entry_idx"])
+    return taken.withColumn("duracion_min", minutes_between(F.col("entry_time"), F.col("exit_time")))
 
 
 def account(trades: DataFrame, cfg: Config, by: tuple[str, ...] = ("symbol",)) -> DataFrame:

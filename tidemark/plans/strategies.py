@@ -138,7 +138,10 @@ class CrossoverMidpoint:
         w, k, kind = series(*by), max(5, min(150, int(params.get("hl_period", 50)))), params.get("ma_type", "sma")
         mid = F.col("hl_mid")
         df = bars.withColumn("hl_mid", (F.col("high") + F.col("low")) / 2.0)
-        df = df.withColumn("ma_hl", I.ewm(mid, w, span=k) if kind == "ema" else I.alma(mid, w, k) if kind == "alma" else I.sma(mid, w, k))
+        if kind == "ema":
+            df = I.ewm(df, {"ma_hl": mid}, span=k, by=by)
+        else:
+            df = df.withColumn("ma_hl", I.alma(mid, w, k) if kind == "alma" else I.sma(mid, w, k))
         close, line = F.col("close"), F.col("ma_hl")
         before, line_before = I.prev(close, w), I.prev(line, w)
         below = before < line_before
@@ -147,9 +150,9 @@ class CrossoverMidpoint:
         return _entry(df, below & (close > line), (before > line_before) & (close < line))
 
 
-def _z_of_ema(df: DataFrame, w, params: dict, lookback: int) -> DataFrame:
+def _z_of_ema(df: DataFrame, w, params: dict, lookback: int, by: tuple[str, ...]) -> DataFrame:
     k, z = int(params.get("ema_len", 20)), int(params.get("z_lookback", lookback))
-    df = df.withColumn("ema", I.ewm(F.col("close"), w, span=k, least=k))
+    df = I.ewm(df, {"ema": F.col("close")}, span=k, least=k, by=by)
     ema = F.col("ema")
     full = I.rolling_std(ema, w, z)
     return df.withColumn("z_score", F.when(full == 0, 0.0).otherwise(safe_div(ema - I.sma(ema, w, z), full)))
@@ -171,7 +174,7 @@ class ZScoreLinReg:
     def signals(self, bars, params, by=("symbol",)):
         w, thr, k = series(*by), float(params.get("z_threshold", 2.0)), int(params.get("linreg_len", 100))
         first = F.first("close").over(w.rowsBetween(W.unboundedPreceding, 0))
-        df = _z_of_ema(bars, w, params, 30).withColumn("linreg", F.coalesce(I.ols(F.col("close"), F.col("bar_idx"), w, k)["value"], first))
+        df = _z_of_ema(bars, w, params, 30, by).withColumn("linreg", F.coalesce(I.ols(F.col("close"), F.col("bar_idx"), w, k)["value"], first))
         z, line = F.col("z_score"), F.col("linreg")
         return _entry(df.drop("ema"), I.cross(z, -thr, w, "<", ">") & (F.col("close") < line), I.cross(z, thr, w, ">", "<") & (F.col("close") > line))
 
@@ -187,7 +190,7 @@ class ZScorePullback:
 
     def signals(self, bars, params, by=("symbol",)):
         w, thr, k = series(*by), float(params.get("z_threshold", 2.0)), int(params.get("linreg_len", 100))
-        df = _z_of_ema(bars, w, params, 50).withColumn("linreg_slope", F.coalesce(I.ols(F.col("close"), F.col("bar_idx"), w, k)["slope"], F.lit(0.0)))
+        df = _z_of_ema(bars, w, params, 50, by).withColumn("linreg_slope", F.coalesce(I.ols(F.col("close"), F.col("bar_idx"), w, k)["slope"], F.lit(0.0)))
         z, slope = F.col("z_score"), F.col("linreg_slope")
         return _entry(df.drop("ema"), I.cross(z, -thr, w, "<", ">") & (slope > 0), I.cross(z, thr, w, ">", "<") & (slope < 0))
 
@@ -212,7 +215,7 @@ class MomentumFusion:
     def signals(self, bars, params, by=("symbol",)):
         w, close = series(*by), F.col("close")
         at = lambda name, other: int(params.get(name, other))
-        df = bars.withColumns({"adx": I.adx(F.col("high"), F.col("low"), close, w, at("adx_len", 14), at("adx_smooth", 14)), "v_smooth": I.sma(F.col("volume"), w, 3, least=1)})
+        df = I.adx(bars, at("adx_len", 14), at("adx_smooth", 14), by).withColumn("v_smooth", I.sma(F.col("volume"), w, 3, least=1))
         df = df.withColumn("fusion", I.norm_price(close, w, at("len_price", 50)) * I.norm_volume(F.col("v_smooth"), w, at("len_vol", 50)))
         df = df.withColumn("fusion_signal", I.alma(F.col("fusion"), w, at("alma_len", 15)))
         sig, before, strong = F.col("fusion_signal"), I.prev(F.col("fusion_signal"), w), F.col("adx") > float(params.get("adx_thr", 20.0))

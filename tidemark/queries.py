@@ -185,10 +185,10 @@ def queries() -> dict[str, Query]:
         "zscore": _indicator(lambda: {"z": I.zscore(C(), w(), 20)}),
         "rsi": lambda s, d: _with(hourly(s, d), rsi=I.rsi(C(), w(), 14)),
         "true_range": _indicator(lambda: {"tr": I.true_range(H(), L(), C(), w()), "plus_dm": I.directional_moves(H(), L(), w())[0], "minus_dm": I.directional_moves(H(), L(), w())[1]}),
-        "ema_span": _indicator(lambda: {"ema": I.ewm(C(), w(), span=20)}),
-        "ema_alpha": _indicator(lambda: {"ema": I.ewm(C(), w(), alpha=0.1, least=10)}),
-        "adx": lambda s, d: _with(hourly(s, d), adx=I.adx(H(), L(), C(), w(), 14, 14)),
-        "zscore_ema": lambda s, d: _with(hourly(s, d).withColumn("e", I.ewm(C(), w(), span=20, least=20)), z=I.zscore(F.col("e"), w(), 30)),
+        "ema_span": lambda s, d: _with(I.ewm(hourly(s, d), {"e": C()}, span=20), ema=F.col("e")),
+        "ema_alpha": lambda s, d: _with(I.ewm(hourly(s, d), {"e": C()}, alpha=0.1, least=10), ema=F.col("e")),
+        "adx": lambda s, d: _with(I.adx(hourly(s, d), 14, 14), adx=F.col("adx")),
+        "zscore_ema": lambda s, d: _with(I.ewm(hourly(s, d), {"e": C()}, span=20, least=20), z=I.zscore(F.col("e"), w(), 30)),
         "alma": _indicator(lambda: {"alma": I.alma(C(), w(), 9)}),
         "linreg_value": _indicator(lambda: {"linreg": I.ols(C(), F.col("bar_idx"), w(), 30)["value"]}),
         "linreg_slope": _indicator(lambda: {"slope": I.ols(C(), F.col("bar_idx"), w(), 30)["slope"]}),
