@@ -134,15 +134,77 @@ def test_account_rules(spark):
 
 
 def test_override(spark):
-    bars = frame(spark, [(100, 101, 99, 100)] * 6)
+    path = [(100, 101, 99, 100)] * 3 + [(100, 108, 100, 107)] + [(107 + i, 108 + i, 106 + i, 107.5 + i) for i in range(16)]
+    bars = frame(spark, path)
     sig = bars.withColumns({"signal_long": F.col("bar_idx") == 0, "signal_short": F.lit(False)})
-    exited = T.exits(T.position_size(T.candidates(sig), T.Config()), bars)
-    own = lambda pdf: pd.DataFrame({"exit_idx": pdf.entry_idx + 99, "exit_price": math.nan, "tipo_salida": None})
-    (r,) = T.override_exits(exited, own).collect()
-    assert (r.exit_idx, r.tipo_salida) == (5, "STRATEGY_EXIT")
-    bad = lambda pdf: pd.DataFrame({"exit_idx": pdf.entry_idx, "exit_price": 1.0, "tipo_salida": "X"})
+    exited = T.exits(T.position_size(T.candidates(sig), replace(T.Config(), tp_pct=9.0)), bars)
+    (engine,) = exited.collect()
+    assert (engine.exit_idx, engine.exit_price) == (3, 106.75)
+
+    def moved(idx, price=math.nan, reason=None):
+        return lambda pdf, near: pd.DataFrame({"exit_idx": pdf.entry_idx + idx, "exit_price": price, "tipo_salida": reason})
+
+    (r,) = T.override_exits(exited, bars, moved(15)).collect()
+    assert (r.exit_idx, r.exit_price, r.tipo_salida) == (15, path[15][3], "STRATEGY_EXIT")
+    assert r.exit_time == T0 + pd.Timedelta(hours=15) and r.sl_distance == pytest.approx(75 * 0.2)
+    (r,) = T.override_exits(exited, bars, moved(99, 50.0, "X")).collect()
+    assert (r.exit_idx, r.exit_price, r.tipo_salida, r.exit_time) == (19, 50.0, "X", T0 + pd.Timedelta(hours=19))
+    none = lambda pdf, near: pd.DataFrame({"exit_idx": [None] * len(pdf), "exit_price": math.nan, "tipo_salida": None})
+    assert T.override_exits(exited, bars, none).collect() == [engine]
+
+    def within(pdf, near):  # the slice of the entry, with two bars behind it
+        assert near.bar_idx.tolist() == list(range(6))
+        return moved(5)(pdf, near)
+
+    assert T.override_exits(exited, bars, within, ahead=2, span=4).collect()[0].exit_idx == 5
     with pytest.raises(Exception, match="after its entry"):
-        T.override_exits(exited, bad).collect()
+        T.override_exits(exited, bars, moved(0)).collect()
+
+
+def test_a_strategy_decides_exits_in_a_run(spark):
+    class Held:
+        combinacion_id, name, bars_ahead = 99, "held", 4
+
+        def space(self, chosen):
+            return {}
+
+        def signals(self, df, params, by=("symbol",)):
+            return df.withColumns({"signal_long": F.col("bar_idx").isin(0, 1, 7), "signal_short": F.lit(False)})
+
+        def decide_exit(self, candidates, near, params, saldo):
+            return pd.DataFrame({"exit_idx": candidates.entry_idx + params["held"], "exit_price": math.nan, "tipo_salida": None})
+
+    bars = frame(spark, [(100, 100, 100, 100.0 + i) for i in range(12)])
+    metrics, executed = S.run_trials(bars, Held(), [(0, {"held": 2}), (1, {"held": 3})], replace(T.Config(), saldo_inicial=1e4))
+    got = sorted((r.trial, r.entry_idx, r.exit_idx, r.exit_price) for r in executed.collect())
+    assert got == [(0, 0, 2, 102.0), (0, 7, 9, 109.0), (1, 0, 3, 103.0), (1, 7, 10, 110.0)]
+    assert sorted(r.n_trades for r in metrics.collect()) == [2, 2]
+
+
+def test_trials_without_trades_report_zeros(spark):
+    class Never:
+        combinacion_id, name = 98, "never"
+
+        def space(self, chosen):
+            return {}
+
+        def signals(self, df, params, by=("symbol",)):
+            return df.withColumns({"signal_long": F.lit(False), "signal_short": F.lit(False)})
+
+    (row,) = S.run_trials(frame(spark, [(1, 1, 1, 1)] * 5), Never(), [(0, {})], T.Config())[0].collect()
+    assert (row.n_trades, row.roi, row.saldo_actual, row.saldo_min, row.calmar, row.score) == (0, 0.0, 300.0, 300.0, 0.0, 0.0)
+    assert row.profit_factor is None and row.racha_ganadora == 0
+
+
+def test_percent_levels(spark):
+    rows = [("long", 100.0, 98.0, 99.0, 97.0), ("long", 100.0, 100.0, 104.0, 99.5), ("short", 100.0, 103.0, 104.0, 99.0), ("short", 100.0, 100.0, 101.0, 96.0), ("long", 100.0, 100.0, 101.0, 99.0)]
+    df = spark.createDataFrame(rows, "side string, entry double, o double, h double, l double")
+    hit = pct_exit(F.col("entry"), F.col("side"), F.col("o"), F.col("h"), F.col("l"), F.lit(2.0), F.lit(3.0))
+    got = [r.x and tuple(r.x) for r in df.select(hit.alias("x")).collect()]
+    assert got == [("SL", 98.0), ("TP", 103.0), ("SL", 103.0), ("TP", 97.0), None]
+    pnl = [r.p for r in df.select(pnl_pct(F.col("entry"), F.col("h"), F.col("side")).alias("p")).collect()]
+    assert pnl == pytest.approx([-1.0, 4.0, -4.0, -1.0, 1.0])
+    assert atr_settings({"__exit_atr_period": 0, "exit_sl_atr": -2}) == AtrConfig(atr_period=1, sl_atr=2.0)
 
 
 def test_indicators_match_pandas(spark):

@@ -11,21 +11,21 @@ from tidemark.operators.trades import Config, equity
 
 #: Other names of metrics that readers may ask for, without regard to case (fixed values).
 METRIC_ALIASES = {
-    "winrate": "win_rate wr win_pct win_percent",
-    "sharpe": "sharpe_ratio sharperatio sr",
-    "sortino": "sortino_ratio sortinoratio",
-    "profit_factor": "profitfactor pf profit_f",
-    "drawdown": "max_drawdown maxdrawdown dd max_dd mdd",
-    "roi": "return_pct return_percent retorno pnl_percent",
-    "saldo_actual": "saldo_final final_balance balance saldo",
-    "comisiones_total": "comisiones commissions total_comm fees",
-    "n_trades": "total_trades num_trades trades trade_count",
-    "n_trades_long": "count_longs num_longs longs long_count n_longs",
-    "n_trades_short": "count_shorts num_shorts shorts short_count n_shorts",
-    "pnl_neto": "pnl net_pnl profit net_profit",
-    "pnl_neto_por_dia_operado": "pnl_por_dia_operado pnl_dia_operado net_pnl_per_trading_day net_pnl_per_operated_day",
+    "winrate": ("win_rate", "wr", "win_pct", "win_percent",),
+    "sharpe": ("sharpe_ratio", "sharperatio", "sr",),
+    "sortino": ("sortino_ratio", "sortinoratio",),
+    "profit_factor": ("profitfactor", "pf", "profit_f",),
+    "drawdown": ("max_drawdown", "maxdrawdown", "dd", "max_dd", "mdd",),
+    "roi": ("return_pct", "return_percent", "retorno", "pnl_percent",),
+    "saldo_actual": ("saldo_final", "final_balance", "balance", "saldo",),
+    "comisiones_total": ("comisiones", "commissions", "total_comm", "fees",),
+    "n_trades": ("total_trades", "num_trades", "trades", "trade_count",),
+    "n_trades_long": ("count_longs", "num_longs", "longs", "long_count", "n_longs",),
+    "n_trades_short": ("count_shorts", "num_shorts", "shorts", "short_count", "n_shorts",),
+    "pnl_neto": ("pnl", "net_pnl", "profit", "net_profit",),
+    "pnl_neto_por_dia_operado": ("pnl_por_dia_operado", "pnl_dia_operado", "net_pnl_per_trading_day", "net_pnl_per_operated_day",),
 }
-_NAMED = {other: name for name, others in METRIC_ALIASES.items() for other in others.split()}
+_NAMED = {other: name for name, others in METRIC_ALIASES.items() for other in others}
 
 
 def annualised(ratio: Column, trades_per_day: Column) -> Column:
@@ -124,6 +124,24 @@ def summary(executed: DataFrame, cfg: Config, period: DataFrame | None = None, b
     return out.drop("_first", "_last", "_event_first", "_event_last", "_from", "_to", "_days", "period_start", "period_end")
 
 
+#: What a run without trades reports beside zeros (fixed values): ratios that are undefined, and balances.
+UNDEFINED = ("riesgo_beneficio", "payoff_ratio", "profit_factor")
+BALANCES = ("saldo_actual", "saldo_min", "saldo_max", "saldo_mean", "saldo_sin_comisiones")
+
+
+def with_empty(metrics: DataFrame, every: DataFrame, cfg: Config, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """``metrics`` with a row for each key of ``every``: one without trades has zeros and the initial balance."""
+    made = metrics.withColumn("_made", F.lit(True))
+    both = every.select(*by).distinct().join(made, list(by), "left")
+    kinds = dict(metrics.dtypes)
+
+    def filled(c: str) -> Column:
+        start = F.lit(None) if c in UNDEFINED else F.lit(cfg.saldo_inicial if c in BALANCES else 0)
+        return F.when(F.col("_made").isNull(), start.cast(kinds[c])).otherwise(F.col(c)).alias(c)
+
+    return both.select(*by, *[filled(c) for c in metrics.columns if c not in by])
+
+
 def score(tpd: Column, sqn: Column, profit_factor: Column, sortino: Column, drawdown: Column) -> Column:
     """Below a quarter trade a day activity alone, up to 1; from there on quality, gains over losses and shallow drawdowns."""
     known = lambda c, other: F.when(finite(c), c).otherwise(other)

@@ -7,7 +7,7 @@ are ordered, on the far smaller table of trades.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -133,27 +133,48 @@ def trailing_trace(exited: DataFrame, bars: DataFrame, by: tuple[str, ...] = ("s
                       pnl.alias("pnl_eur_close"), (safe_div(pnl, F.col("saldo_usado"), 0.0) * 100).alias("pnl_pct_stake_close"), F.when(last & (F.col("tipo_salida") != "END_OF_DATA"), F.col("tipo_salida")).alias("hit_reason"), F.when(last & (F.col("tipo_salida") != "END_OF_DATA"), F.col("exit_price")).alias("hit_exit_price"))
 
 
-def override_exits(exited: DataFrame, decide: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+Decide = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
+_OWN = "own_idx long, own_price double, own_reason string"
+
+
+def override_exits(exited: DataFrame, bars: DataFrame, decide: Decide, by: tuple[str, ...] = ("symbol",), series: tuple[str, ...] = ("symbol",), before: int = 0, ahead: int = 0, span: int = 1024) -> DataFrame:
     """Let a strategy's own decision replace engine exits.
 
-    ``decide`` gets batches of candidates and returns exit_idx, exit_price and tipo_salida (null keeps the
-    engine's). An index at or before the entry is an error, as it could never end.
+    ``decide`` gets the candidates of one slice of ``span`` bars and their bars, from ``before`` bars before the slice to
+    ``ahead`` behind it, both in order. It returns exit_idx, exit_price and tipo_salida for each candidate: a null exit_idx keeps the
+    engine's exit, a null price is the close of the new bar, a null reason is STRATEGY_EXIT. Indices beyond the series mean its last bar;
+    one at or before the entry is an error, as it could never end. Time and sl_distance follow the new bar.
     """
-    columns = exited.columns
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            own = decide(pdf.copy()).reset_index(drop=True)
-            pdf = pdf.reset_index(drop=True)
-            took = own["exit_idx"].notna()
-            if (own.loc[took, "exit_idx"] <= pdf.loc[took, "entry_idx"]).any():
-                raise ValueError("an exit must come after its entry")
-            pdf.loc[took, "exit_idx"] = own.loc[took, "exit_idx"].clip(upper=pdf.loc[took, "end_idx"]).astype("int64")
-            pdf.loc[took, "exit_price"] = own.loc[took, "exit_price"].fillna(pdf.loc[took, "exit_price"])
-            pdf.loc[took, "tipo_salida"] = own.loc[took, "tipo_salida"].fillna("STRATEGY_EXIT")
-            yield pdf[columns]
-
-    return exited.mapInPandas(rows, exited.schema)
+    keys = [*by, "entry_idx"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in exited.select(*keys).schema) + ", " + _OWN
+
+    def rows(candidates: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        if candidates.empty:
+            return pd.DataFrame(columns=[*keys, "own_idx", "own_price", "own_reason"])
+        candidates = candidates.sort_values(keys).reset_index(drop=True)
+        near = near.drop(columns="_near").rename(columns={f"_{c}": c for c in series}).sort_values("bar_idx").reset_index(drop=True)
+        own = decide(candidates.drop(columns="_slice"), near).reset_index(drop=True)
+        took = own["exit_idx"].notna()
+        if (own.loc[took, "exit_idx"] <= candidates.loc[took, "entry_idx"]).any():
+            raise ValueError("an exit must come after its entry")
+        reason = own["tipo_salida"].where(own["tipo_salida"].notna() & (own["tipo_salida"] != ""), "STRATEGY_EXIT").astype(str)
+        out = candidates.loc[took, keys].assign(own_idx=own.loc[took, "exit_idx"].astype("int64"), own_price=own.loc[took, "exit_price"].astype("float64"), own_reason=reason[took])
+        return out
+
+    slice_ = lambda c: F.floor(c / span).cast("long")
+    reach = F.sequence(F.greatest(F.lit(0), slice_(F.col("bar_idx") - ahead)), slice_(F.col("bar_idx") + before))
+    sliced = bars.select(*[F.col(c).alias(f"_{c}" if c in series else c) for c in bars.columns], F.explode(reach).alias("_near"))
+    grouped = exited.withColumn("_slice", slice_(F.col("entry_idx"))).groupBy(*series, "_slice")
+    own = grouped.cogroup(sliced.groupBy(*[f"_{c}" for c in series], "_near")).applyInPandas(rows, schema)
+    last = bars.groupBy(*series).agg(F.max("bar_idx").alias("last"))
+    own = own.join(last, list(series)).withColumn("own_idx", F.least("own_idx", "last")).drop("last")
+    at = bars.select(*series, F.col("bar_idx").alias("own_idx"), F.col("timestamp").alias("own_time"), F.col("close").alias("own_close"))
+    both = exited.join(own.join(at, [*series, "own_idx"]), keys, "left")
+    took = F.col("own_idx").isNotNull()
+    pct = F.col("sl_pct") / 100.0
+    distance = F.when((F.col("qty") > 0) & (F.col("saldo_usado") > 0), F.col("saldo_usado") * pct / F.col("qty")).otherwise(F.col("entry_price") * pct)
+    new = {"exit_idx": F.col("own_idx"), "exit_time": F.col("own_time"), "exit_price": F.coalesce("own_price", "own_close"), "tipo_salida": F.col("own_reason"), "sl_distance": distance}
+    return both.select(*[F.when(took, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in exited.columns])
 
 
 def nonoverlapping(exited: DataFrame, by: tuple[str, ...] = ("symbol",), block_bars: int = 0, short: int = SHORT) -> DataFrame:

@@ -15,6 +15,7 @@ from dataclasses import replace
 from itertools import product
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -113,6 +114,19 @@ def study_name(*parts: str) -> str:
     return re.sub(r"[^a-z0-9]+", "_", "_".join(parts).lower()).strip("_")
 
 
+def _decided(strategy: Strategy, params: dict[int, dict[str, Any]], cfg: T.Config) -> T.Decide:
+    """A strategy's own exits, each trial with its parameters. Candidates of different trials share their bars."""
+
+    def decide(candidates: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for trial, own in candidates.groupby("trial"):
+            made = strategy.decide_exit(own.reset_index(drop=True), near, params[int(trial)], cfg.saldo_inicial)
+            parts.append(made.set_axis(own.index))
+        return pd.concat(parts).reindex(candidates.index)
+
+    return decide
+
+
 def run_trials(bars: DataFrame, strategy: Strategy, trials: list[tuple[int, dict[str, Any]]], cfg: T.Config) -> tuple[DataFrame, DataFrame]:
     """(metrics and score for each symbol and trial, executed trades). Symbols without trades score 0."""
     spark, by = bars.sparkSession, ("symbol", "trial")
@@ -132,13 +146,16 @@ def run_trials(bars: DataFrame, strategy: Strategy, trials: list[tuple[int, dict
         found = T.candidates(strategy.signals(bars, shared[key])).withColumn("trial", F.explode(F.array(*[F.lit(n).cast("long") for n in numbers])))
         entries = found if entries is None else entries.unionByName(found)
     sized = T.position_size(entries.join(F.broadcast(table), "trial"), cfg)  # one row for each trial of the batch
-    chosen = T.nonoverlapping(T.exits(sized, bars, by), by, cfg.block_bars)
+    exited = T.exits(sized, bars, by)
+    if hasattr(strategy, "decide_exit"):
+        exited = T.override_exits(exited, bars, _decided(strategy, dict(trials), cfg), by, before=getattr(strategy, "bars_before", 0), ahead=getattr(strategy, "bars_ahead", 256))
+    chosen = T.nonoverlapping(exited, by, cfg.block_bars)
     executed = T.account(chosen, cfg, by)
     ends = bars.groupBy("symbol").agg(F.min("timestamp").alias("period_start"), F.max("timestamp").alias("period_end"))
     period = ends.join(F.broadcast(table.select("trial")), how="cross")
-    made = M.scored(M.summary(executed, cfg, period, by))
     every = bars.select("symbol").distinct().join(F.broadcast(table.select("trial")), how="cross")
-    return every.join(made, list(by), "left").withColumn("score", F.coalesce("score", F.lit(0.0))), executed
+    made = M.with_empty(M.scored(M.summary(executed, cfg, period, by)), every, cfg, by)
+    return made, executed
 
 
 def optimise(

@@ -8,15 +8,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as I
-from tidemark.functions.scalar import clip, finite, or_zero
+from tidemark.functions.scalar import clip, finite, minutes_between, or_zero
 from tidemark.operators import bars as B
 from tidemark.operators import metrics as M
 from tidemark.operators import trades as T
+from tidemark.operators.atr_exits import AtrConfig, atr_exits
 from tidemark.plans import report as R
 from tidemark.plans import search as S
 from tidemark.plans.strategies import Choice, armed, discover, find
@@ -116,12 +118,6 @@ def _asof(mode: str) -> Query:
     return run
 
 
-def _spaces(s: SparkSession, d: str) -> DataFrame:
-    """Every range that the strategies sample, with the widest bounds it can have."""
-    rows = [(k, name, float(r.low), float(r.high), float(r.step)) for k, made in discover().items() for name, r in made.space({}).items() if not isinstance(r, Choice)]
-    return s.createDataFrame(rows, "strategy int, parameter string, low double, high double, step double")
-
-
 def _nearest(s: SparkSession, d: str) -> DataFrame:
     ticks = event_ticks(s, d)
     points = ticks.select("symbol", "timestamp", F.col("tie.event_id").alias("event_id"))
@@ -154,6 +150,53 @@ def _trace(s: SparkSession, d: str) -> DataFrame:
     return rounded(T.trailing_trace(exited, bars).drop("timestamp", "sl_pct", "tp_pct", "trail_act_pct", "trail_dist_pct", "stake"))
 
 
+WIDE = replace(CFG, sl_pct=90.0, tp_pct=90.0)
+ATR_FIXED, ATR_TRAIL = AtrConfig(tp_atr=3.0, sl_atr=1.5), AtrConfig("atr_trailing")
+
+
+def _wide(s: SparkSession, d: str) -> DataFrame:
+    """Stops so wide that trades stay open over thousands of one-minute bars, many to the end."""
+    bars = cut(B.indexed(B.ticks_to_bars(event_ticks(s, d).withColumn("symbol", F.lit("all")), "1 minute")))
+    sized = T.position_size(T.candidates(find(3).signals(bars, PARAMS[3])), WIDE)
+    return rounded(T.exits(sized, bars).select(*EXIT_COLS))
+
+
+def _atr_exited(cfg: AtrConfig) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        bars = cut(hourly(s, d))
+        done = atr_exits(T.candidates(find(3).signals(bars, PARAMS[3])), bars, cfg)
+        return rounded(done.select("symbol", "type", "entry_idx", "exit_idx", "entry_price", "exit_price", "tipo_salida"))
+
+    return run
+
+
+def _close_beyond(candidates: pd.DataFrame, bars: pd.DataFrame) -> pd.DataFrame:
+    """Leave at the first of eight bars that closes beyond the entry bar's far side."""
+    at = bars["bar_idx"].to_numpy()
+    close, low, high = (bars[c].to_numpy() for c in ("close", "low", "high"))
+    found = []
+    for entry, side in zip(candidates["entry_idx"], candidates["type"], strict=True):
+        i = int(at.searchsorted(entry))
+        near = close[i + 1 : i + 9]
+        beyond = (near < low[i] if side == "long" else near > high[i]).nonzero()[0]
+        found.append(at[i + 1 + beyond[0]] if len(beyond) else None)
+    return pd.DataFrame({"exit_idx": pd.array(found, "Int64"), "exit_price": None, "tipo_salida": None})
+
+
+def _overridden(s: SparkSession, d: str) -> DataFrame:
+    exited, bars = _exited(s, d)
+    own = T.override_exits(exited, bars, _close_beyond, ahead=8, span=256)
+    return rounded(own.select(*EXIT_COLS, minutes_between(F.col("entry_time"), F.col("exit_time")).alias("minutes")))
+
+
+def _empty(s: SparkSession, d: str) -> DataFrame:
+    """Metrics of every symbol where only those up to "m" traded."""
+    executed, bars = _executed(s, d)
+    made = M.summary(executed.where(F.col("symbol") < "m"), CFG, _period(bars))
+    every = bars.select("symbol").distinct()
+    return rounded(M.with_empty(made, every, CFG).select("symbol", *SUMMARY_COLS), MONEY)
+
+
 def _streaks(s: SparkSession, d: str) -> DataFrame:
     return M.streaks(_executed(s, d)[0])
 
@@ -175,7 +218,6 @@ def queries() -> dict[str, Query]:
         "asof_align_ref": _asof("reference"),
         "asof_align_safe": _asof("safe"),
         "nearest_snap": _nearest,
-        "search_spaces": _spaces,
         "dedup_ts": lambda s, d: B.dedup(event_ticks(s, d).withColumn("timestamp", F.date_trunc("minute", "timestamp").cast("timestamp_ntz")), F.col("tie")).select("symbol", "timestamp", F.col("tie.event_id").alias("event_id")),
         "null_handling": _nulls,
         "sma": _indicator(lambda: {"sma20": I.sma(C(), w(), 20), "sma3_min1": I.sma(C(), w(), 3, 1)}),
@@ -210,6 +252,12 @@ def queries() -> dict[str, Query]:
         "exit_fixed": lambda s, d: rounded(_exited(s, d)[0].select(*EXIT_COLS)),
         "exit_trailing": lambda s, d: rounded(_exited(s, d, TRAIL)[0].select(*EXIT_COLS)),
         "trailing_trace": _trace,
+        "exit_wide": _wide,
+        "exit_override": _overridden,
+        "exit_atr_fixed": _atr_exited(ATR_FIXED),
+        "exit_atr_trailing": _atr_exited(ATR_TRAIL),
+        "atr_wilder": lambda s, d: _with(I.atr_wilder(hourly(s, d), 14), atr=F.col("atr")),
+        "metrics_empty": _empty,
         "trades_nonoverlap": lambda s, d: T.nonoverlapping(_exited(s, d)[0]).select("symbol", "seq", "entry_idx", "exit_idx"),
         "trades_cooldown": lambda s, d: T.nonoverlapping(_exited(s, d)[0], block_bars=5).select("symbol", "seq", "entry_idx", "exit_idx"),
         "account_sim": lambda s, d: rounded(_executed(s, d)[0].select(*EXEC_COLS), MONEY),
@@ -358,13 +406,19 @@ def _s3(k: int, name: str = "sig") -> str:
     {name} AS (SELECT *, coalesce(p_close < p_ma_hl AND close > ma_hl, false) AS signal_long, coalesce(p_close > p_ma_hl AND close < ma_hl, false) AS signal_short FROM {name}_1)"""
 
 
+def _c0_sql(k: int = 20, tag: str = "") -> str:
+    """Candidates: the signal bars of the crossover but each series' last bar."""
+    return f"""{_s3(k, 'sig' + tag)}, c0{tag} AS (SELECT symbol, CASE WHEN signal_long THEN 'long' ELSE 'short' END AS type, CASE WHEN signal_long THEN 1.0 ELSE -1.0 END AS sg, bar_idx AS entry_idx, timestamp AS entry_time, close AS entry_price, end_idx
+    FROM (SELECT *, max(bar_idx) OVER (PARTITION BY symbol) AS end_idx FROM sig{tag}) WHERE (signal_long OR signal_short) AND bar_idx < end_idx)"""
+
+
 def _exit_sql(cfg: T.Config, k: int = 20, tag: str = "", sl: float | None = None, tp: float | None = None) -> str:
     """Candidates and their exits: every later bar of every candidate with its running best, then the first hit."""
     margin, trailing = min(cfg.saldo_usado, cfg.saldo_inicial), cfg.exit_type == "pnl_trailing"
     sl, tp = sl or cfg.sl_pct, tp or cfg.tp_pct
     act, dist = cfg.trail_act_pct, min(cfg.trail_dist_pct, cfg.trail_act_pct / 2)
     trail = "best >= act AND adv <= best - dist" if trailing else "false"
-    return f"""{_s3(k, 'sig' + tag)}, c0{tag} AS (SELECT symbol, CASE WHEN signal_long THEN 'long' ELSE 'short' END AS type, CASE WHEN signal_long THEN 1.0 ELSE -1.0 END AS sg, bar_idx AS entry_idx, timestamp AS entry_time, close AS entry_price, end_idx FROM (SELECT *, max(bar_idx) OVER (PARTITION BY symbol) AS end_idx FROM sig{tag}) WHERE (signal_long OR signal_short) AND bar_idx < end_idx),
+    return f"""{_c0_sql(k, tag)},
     c1{tag} AS (SELECT *, {margin}::DOUBLE AS saldo_usado, greatest(1.0, least({cfg.qty} * entry_price / {margin}, {cfg.apalancamiento_max})) AS apalancamiento, CASE WHEN {cfg.qty} * entry_price / {margin} > {cfg.apalancamiento_max} THEN {margin} * {cfg.apalancamiento_max} / entry_price ELSE {cfg.qty}::DOUBLE END AS qty FROM c0{tag}),
     c2{tag} AS (SELECT *, qty * entry_price AS volumen, saldo_usado * {sl / 100!r} / qty AS sl_distance, sg * entry_price AS s_entry, sg * entry_price - saldo_usado * {sl / 100!r} / qty AS sl, sg * entry_price + saldo_usado * {tp / 100!r} / qty AS tp, sg * entry_price + saldo_usado * {act / 100!r} / qty AS act, saldo_usado * {dist / 100!r} / qty AS dist FROM c1{tag}),
     h0{tag} AS (SELECT c.*, b.bar_idx, b.timestamp, b.open AS o, b.high AS h, b.low AS l, b.close AS cl, sg * b.open AS so, CASE WHEN sg > 0 THEN b.high ELSE -b.low END AS fav, CASE WHEN sg > 0 THEN b.low ELSE -b.high END AS adv FROM c2{tag} c JOIN b ON b.symbol = c.symbol AND b.bar_idx > c.entry_idx),
@@ -374,6 +428,41 @@ def _exit_sql(cfg: T.Config, k: int = 20, tag: str = "", sl: float | None = None
     x{tag} AS (SELECT c.*, coalesce(f.exit_idx, c.end_idx) AS exit_idx, coalesce(f.price, z.close) AS exit_price, coalesce(f.at, z.timestamp) AS exit_time, coalesce(f.hit, 'END_OF_DATA') AS tipo_salida FROM c2{tag} c LEFT JOIN f{tag} f USING (symbol, entry_idx) JOIN b z ON z.symbol = c.symbol AND z.bar_idx = c.end_idx)"""
 
 
+def _minute_sql() -> str:
+    """Bars of one minute over all events as one series, long enough for three levels of blocks."""
+    ticks = "ticks AS (SELECT 'all' AS symbol, ts AS timestamp, value AS price, 1.0::DOUBLE AS size, event_id AS tie FROM events)"
+    return f"WITH RECURSIVE {ticks}, {_bars('b0', '1 minute')}, b AS (SELECT *, row_number() OVER ({_W}) - 1 AS bar_idx FROM b0)"
+
+
+def _atr_sql(p: int) -> str:
+    """Wilder's range in closed form: the seed and each later true range by its weight."""
+    m = (p - 1) / p
+    return f"""{_DM}, seeds AS (SELECT symbol, avg(tr) AS seed FROM m WHERE bar_idx < {p} GROUP BY symbol),
+    atr AS (SELECT i.symbol, i.timestamp, i.bar_idx, CASE WHEN i.bar_idx >= {p - 1} THEN any_value(seed) * power({m!r}, i.bar_idx - {p - 1}) + coalesce(sum(j.tr / {p} * power({m!r}, i.bar_idx - j.bar_idx)) FILTER (j.bar_idx >= {p}), 0) END AS atr
+      FROM m i JOIN m j ON i.symbol = j.symbol AND j.bar_idx <= i.bar_idx JOIN seeds s ON s.symbol = i.symbol GROUP BY i.symbol, i.timestamp, i.bar_idx)"""
+
+
+def _atr_exit_sql(cfg: AtrConfig) -> str:
+    trailing = cfg.exit_type == "atr_trailing"
+    stop = cfg.emergency_sl_atr_mult if trailing else cfg.sl_atr
+    first, second = ("SL_EMERGENCY", "adv <= stop THEN 'TRAILING_STOP'") if trailing else ("SL", "fav >= tp THEN 'TP'")
+    price = "adv <= stop THEN least(so, stop)" if trailing else "fav >= tp THEN tp"
+    return f"""{_c0_sql()}, {_atr_sql(cfg.atr_period)}, ab AS (SELECT b.*, CASE WHEN atr > 0 THEN atr ELSE greatest(high - low, close * 0.001) END AS rg FROM b JOIN atr USING (symbol, bar_idx)),
+    c1 AS (SELECT c0.*, rg AS w, sg * entry_price - rg * {stop} AS sl, sg * entry_price + rg * {cfg.tp_atr} AS tp FROM c0 JOIN ab ON ab.symbol = c0.symbol AND ab.bar_idx = c0.entry_idx),
+    h0 AS (SELECT c.*, ab.bar_idx, ab.timestamp, sg * ab.open AS so, CASE WHEN sg > 0 THEN ab.high ELSE -ab.low END AS fav, CASE WHEN sg > 0 THEN ab.low ELSE -ab.high END AS adv, sg * ab.close - {cfg.trailing_atr_mult} * ab.rg AS g FROM c1 c JOIN ab ON ab.symbol = c.symbol AND ab.bar_idx > c.entry_idx),
+    h1 AS (SELECT *, greatest(sl - w, max(g) OVER (PARTITION BY symbol, entry_idx ORDER BY bar_idx)) AS stop FROM h0),
+    h2 AS (SELECT *, CASE WHEN adv <= sl THEN '{first}' WHEN {second} END AS hit, sg * CASE WHEN adv <= sl THEN least(so, sl) WHEN {price} END AS price FROM h1),
+    f AS (SELECT symbol, entry_idx, min(bar_idx) AS exit_idx, arg_min(hit, bar_idx) AS hit, arg_min(price, bar_idx) AS price FROM h2 WHERE hit IS NOT NULL GROUP BY ALL),
+    x AS (SELECT c.*, coalesce(f.exit_idx, c.end_idx) AS exit_idx, coalesce(f.price, z.close) AS exit_price, coalesce(f.hit, 'END_OF_DATA') AS tipo_salida FROM c1 c LEFT JOIN f USING (symbol, entry_idx) JOIN b z ON z.symbol = c.symbol AND z.bar_idx = c.end_idx)"""
+
+
+#: The rule of ``_close_beyond``: the first of eight closes beyond the entry bar's far side.
+_OVERRIDE_SQL = """own AS (SELECT x.symbol, x.entry_idx, min(n.bar_idx) AS own_idx FROM x JOIN b e ON e.symbol = x.symbol AND e.bar_idx = x.entry_idx
+      JOIN b n ON n.symbol = x.symbol AND n.bar_idx BETWEEN x.entry_idx + 1 AND x.entry_idx + 8 AND CASE WHEN sg > 0 THEN n.close < e.low ELSE n.close > e.high END GROUP BY ALL),
+    xo AS (SELECT x.* EXCLUDE (exit_idx, exit_price, exit_time, tipo_salida), coalesce(own_idx, exit_idx) AS exit_idx, coalesce(o.close, exit_price) AS exit_price, CASE WHEN own_idx IS NULL THEN tipo_salida ELSE 'STRATEGY_EXIT' END AS tipo_salida,
+      epoch_us(coalesce(o.timestamp, exit_time) - entry_time) / 6e7 AS minutes FROM x LEFT JOIN own USING (symbol, entry_idx) LEFT JOIN b o ON o.symbol = x.symbol AND o.bar_idx = own.own_idx)"""
+
+
 def _chain_sql(block: int = 0, tag: str = "") -> str:
     """The greedy chain as a recursion: from each trade to the first candidate after its exit."""
     return f"""chain{tag} AS (SELECT symbol, min(entry_idx) AS entry_idx, 1 AS seq FROM x{tag} GROUP BY symbol
@@ -441,7 +530,6 @@ def oracle_sql() -> dict[str, str]:
         "ASOF LEFT JOIN h n ON e.symbol = n.symbol AND e.timestamp <= n.timestamp) "
         "SELECT symbol, timestamp, event_id, CASE WHEN a IS NULL OR z - timestamp < timestamp - a THEN coalesce(z, a) ELSE a END AS snap_ts FROM x"
     )
-    s["search_spaces"] = SPACES_SQL
     s["dedup_ts"] = "SELECT event_type AS symbol, date_trunc('minute', ts) AS timestamp, min(event_id) AS event_id FROM events GROUP BY ALL"
     s["null_handling"] = f"{_BASE}, zz AS (SELECT *, {_z('close', 20)} AS z FROM b) SELECT symbol, bar_idx, {_r('CASE WHEN z IS NOT NULL THEN greatest(least(z, 1.0), -1.0) END')} AS clipped, {_r('coalesce(z, 0)')} AS zeroed, z IS NOT NULL AS is_finite, coalesce(z > 0, false) AS filled FROM zz"
     s["sma"] = _select({"sma20": _guard("close", 20, "avg(close)"), "sma3_min1": f"avg(close) OVER {_rows(3)}"})
@@ -485,6 +573,11 @@ def oracle_sql() -> dict[str, str]:
     exit_keys, exit_vals = ("symbol", "type", "entry_idx", "exit_idx", "tipo_salida"), ("entry_price", "exit_price", "sl_distance")
     s["exit_fixed"] = _tail(_exit_sql(CFG), "x", exit_keys, exit_vals)
     s["exit_trailing"] = _tail(_exit_sql(TRAIL), "x", exit_keys, exit_vals)
+    s["exit_wide"] = _tail(_exit_sql(WIDE), "x", exit_keys, exit_vals).replace(_BASE, _minute_sql())
+    s["exit_override"] = _tail(f"{_exit_sql(CFG)}, {_OVERRIDE_SQL}", "xo", exit_keys, (*exit_vals, "minutes"))
+    for name, atr_cfg in (("fixed", ATR_FIXED), ("trailing", ATR_TRAIL)):
+        s[f"exit_atr_{name}"] = _tail(_atr_exit_sql(atr_cfg), "x", exit_keys, tuple(v for v in exit_vals if v != "sl_distance"))
+    s["atr_wilder"] = _select({"atr": "atr"}, f", {_atr_sql(14)}", "atr")
     s["trailing_trace"] = f"""{_BASE}, {_exit_sql(TRAIL)} SELECT h.symbol, h.bar_idx, upper(h.type) AS side, h.entry_idx, best0 >= h.act AS trailing_active_before, best >= h.act AS trailing_active_after,
       {", ".join(f"{_r(v)} AS {k}" for k, v in {"open": "o", "high": "h", "low": "l", "close": "cl", "entry_price": "h.entry_price", "qty": "h.qty", "sl_price": "h.sg * h.sl", "tp_price": "h.sg * h.tp", "trail_act_price": "h.sg * h.act", "trail_dist_price": "h.dist", "max_fav_before": "h.sg * best0", "max_fav_after": "h.sg * best", "trailing_price": "CASE WHEN best >= h.act THEN h.sg * (best - h.dist) END", "pnl_eur_close": "h.sg * (cl - h.entry_price) * h.qty", "pnl_pct_stake_close": "h.sg * (cl - h.entry_price) * h.qty / h.saldo_usado * 100", "hit_exit_price": "h.price"}.items())}, h.hit AS hit_reason
       FROM h2 h JOIN x ON x.symbol = h.symbol AND x.entry_idx = h.entry_idx AND h.bar_idx <= x.exit_idx"""
@@ -499,6 +592,10 @@ def oracle_sql() -> dict[str, str]:
     s["longest_trade"] = f"{_BASE}, {ran} SELECT symbol, entry_idx, exit_idx, {_r('duracion_min')} AS duracion_min FROM ex QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY duracion_min DESC, entry_idx) = 1"
     whole = {"n_trades", "n_trades_long", "n_trades_short", "racha_ganadora", "racha_perdedora"}
     s["metrics_summary"] = _tail(ran, "ms", ("symbol", *sorted(whole)), tuple(c for c in SUMMARY_COLS if c not in whole), MONEY)
+    none = {c: CFG.saldo_inicial if c in ("saldo_actual", "saldo_min", "saldo_max", "saldo_mean", "saldo_sin_comisiones") else None if c in ("riesgo_beneficio", "payoff_ratio", "profit_factor") else 0.0 for c in SUMMARY_COLS}
+    filled = ", ".join(f"CASE WHEN ms.symbol IS NULL THEN {'NULL' if v is None else v}::DOUBLE ELSE {c}::DOUBLE END AS {c}" for c, v in none.items())
+    empty = f"{ran}, me AS (SELECT u.symbol, {filled} FROM (SELECT DISTINCT symbol FROM b) u LEFT JOIN ms ON ms.symbol = u.symbol AND u.symbol < 'm')"
+    s["metrics_empty"] = _tail(empty, "me", ("symbol", *(f"{c}::BIGINT AS {c}" for c in sorted(whole))), tuple(c for c in SUMMARY_COLS if c not in whole), MONEY)
     s["score"] = _tail(ran, "sc", ("symbol",), ("score",), MONEY)
     rich = f"{_exit_sql(RICH)}, {_chain_sql()}, {_account_sql(RICH)}, {_metric_sql(RICH)}"
     s["metrics_long"] = _tail(rich, "ms", ("symbol", *sorted(whole)), tuple(c for c in SUMMARY_COLS if c not in whole), MONEY)
@@ -513,16 +610,3 @@ def oracle_sql() -> dict[str, str]:
     s["chart_candles"] = f"{_BASE} SELECT symbol, epoch(timestamp)::BIGINT AS t, round_even(open * 100, 0)::BIGINT AS o, round_even(high * 100, 0)::BIGINT AS h, round_even(low * 100, 0)::BIGINT AS l, round_even(close * 100, 0)::BIGINT AS c FROM b"
     s["chart_markers"] = f"{_BASE}, {ran}, ev AS (SELECT symbol, entry_time AS at, 'entry_' || type AS mark, seq, entry_price AS price FROM ex UNION ALL SELECT symbol, exit_time, 'exit_' || tipo_salida, seq, exit_price FROM ex) SELECT ev.symbol, epoch(ev.at)::BIGINT AS t, mark, seq::BIGINT AS seq, {_r('price')} AS price FROM ev JOIN b ON b.symbol = ev.symbol AND b.timestamp = ev.at WHERE b.bar_idx >= 20"
     return s
-
-
-#: Ranges that the strategies sample (fixed values).
-SPACES_SQL = """
-SELECT strategy::INTEGER AS strategy, parameter, low::DOUBLE AS low, high::DOUBLE AS high, step::DOUBLE AS step FROM (VALUES
-(2, 'sg_window', 7, 35, 2), (2, 'sg_poly', 2, 4, 1), (2, 'ols_window', 30, 100, 5), (2, 'r2_min', 0.60, 0.90, 0.05), (2, 'z_thr', 1.2, 2.5, 0.1),
-(3, 'hl_period', 20, 150, 5),
-(7, 'ema_len', 10, 50, 5), (7, 'z_lookback', 20, 100, 10), (7, 'linreg_len', 50, 200, 10), (7, 'z_threshold', 1.5, 3.0, 0.1),
-(9, 'ema_len', 10, 50, 5), (9, 'z_lookback', 20, 100, 10), (9, 'linreg_len', 50, 200, 10), (9, 'z_threshold', 1.5, 3.0, 0.1),
-(10, 'len_price', 40, 120, 2), (10, 'len_vol', 10, 50, 2), (10, 'alma_len', 8, 25, 1), (10, 'adx_len', 7, 21, 1), (10, 'adx_smooth', 7, 14, 1), (10, 'adx_thr', 16, 30, 2),
-(11, 'z_window', 10, 100, 5), (11, 'z_thr', 1.3, 3.0, 0.1), (11, 'alma_window', 5, 100, 5), (11, 'norm_window', 50, 100, 5), (11, 'norm_thr', 2.0, 3.0, 0.1), (11, 'wait_bars', 1, 10, 1)
-) AS t(strategy, parameter, low, high, step)
-"""
