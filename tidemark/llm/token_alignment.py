@@ -20,7 +20,7 @@ partner are all best; an empty table gives no rows; a null doc_id stays null; fu
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
-from tidemark.llm.encoders import Remembered, public_path, space_chunks
+from tidemark.llm.encoders import public_path, space_chunks
 from tidemark.llm.store import materialize
+from tidemark.llm.token_shards import PATTERN
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
+#: Chunks that a task remembers at most.
+REMEMBERED = 600_000
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 8 << 20
 DOCUMENT, GROUP, PAIR = 0, 1, 2
@@ -49,32 +52,43 @@ def byte_letters() -> dict[str, int]:
 
 
 class Aligner:
-    """Both tokenizers, the bytes of their tokens, and the groups of text chunks."""
+    """Both tokenizers, the bytes of their tokens, and the groups of text chunks, each known by a number.
+
+    The byte-level vocabulary is its ids in the order of their merges, so it is encoded by its ranks.
+    """
 
     def __init__(self, path_a: str, path_b: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        with open(path_a, encoding="utf-8") as f:
+            spec = json.load(f)
         letters = byte_letters()
-        special = {i for i, t in self.a.get_added_tokens_decoder().items() if t.special}
-        self.bytes_a = {i: t.encode() if i in special else bytes(letters[c] for c in t) for t, i in self.a.get_vocab().items()}
+        ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items()}
+        self.a = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        self.bytes_a = {i: x for x, i in ranks.items()}
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.vocab_size())]
-        self.known = Remembered(self.chunks)
-
-    def groups(self, a: list[int], b: list[int], text: bytes) -> list[str] | None:
+        self.forget()
+
+    def forget(self) -> None:
+        self.chunk_no: dict[str, int] = {}
+        self.joined: list[str] = []
+        self.counts: list[tuple[int, int]] = []
+        self.groups: list[list[int]] = []
+        self.group_no: dict[str, int] = {}
+        self.keys: list[str] = []
+        self.bad: set[int] = set()
+
+    def keys_of(self, a: list[int], b: list[int], text: bytes) -> list[str] | None:
         """The groups' keys in order, or None where the tokens don't spell ``text``."""
         parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
         if not a or b"".join(parts_a) != text or b"".join(parts_b) != text:
             return None
-        out, i, j, from_a, from_b = [], 0, 0, 0, 0
+        out, j, from_a, from_b = [], 0, 0, 0
         end_a = end_b = 0
-        while i < len(a):
-            end_a += len(parts_a[i])
-            i += 1
+        for i, part in enumerate(parts_a, 1):
+            end_a += len(part)
             while end_b < end_a:
                 end_b += len(parts_b[j])
                 j += 1
@@ -83,25 +97,36 @@ class Aligner:
                 from_a, from_b = i, j
         return out
 
-    def chunks(self, chunks: list[str]) -> list[tuple | None]:
-        """(A tokens, B tokens, groups joined, groups) for a space and each chunk."""
-        in_a = self.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)
-        in_b = self.b.encode(chunks, num_threads=1)
-        out = []
-        for c, x, b in zip(chunks, in_a, in_b, strict=True):
-            a = x.ids
-            found = self.groups(a, b, (" " + c).encode())
-            out.append(None if found is None else (len(a), len(b), ";".join(found), found))
-        return out
-
-    def texts(self, texts: list[str | None]) -> Iterator[list[tuple]]:
-        """What ``chunks`` gives for the chunks of each text, one text after another; none for a text without tokens."""
-        for at in range(0, len(texts), 64):
-            cut = [space_chunks(t) if t else [] for t in texts[at : at + 64]]
-            self.known.learn(set().union(*cut))
-            for chunks in cut:
-                parts = [self.known[c] for c in chunks]
-                yield [] if None in parts else parts
+    def learn(self, chunks: set[str]) -> None:
+        """Number all ``chunks``; what is known is forgotten where it grows too large, but never between them."""
+        new = [c for c in chunks if c not in self.chunk_no]
+        if len(self.chunk_no) + len(new) > REMEMBERED:
+            self.forget()
+            new = list(chunks)
+        for c, b in zip(new, self.b.encode(new, num_threads=1) if new else [], strict=True):
+            spaced = " " + c
+            a = self.a(spaced)
+            keys = self.keys_of(a, b, spaced.encode())
+            self.chunk_no[c] = len(self.joined)
+            if keys is None:
+                self.bad.add(len(self.joined))
+            self.joined.append(";".join(keys or ()))
+            self.counts.append((len(a), len(b)))
+            own = []
+            for k in keys or ():
+                at = self.group_no.get(k)
+                if at is None:
+                    at = self.group_no[k] = len(self.keys)
+                    self.keys.append(k)
+                own.append(at)
+            self.groups.append(own)
+
+    def numbered(self, texts: list[str | None]) -> list[list[int]]:
+        """The numbers of each text's chunks; none for a text without tokens."""
+        cut = [space_chunks(t) if t else [] for t in texts]
+        self.learn(set().union(*cut))
+        found = [[self.chunk_no[c] for c in chunks] for chunks in cut]
+        return [[] if self.bad and not self.bad.isdisjoint(own) else own for own in found]
 
 
 def links_of(key: str, length_a: dict | list, length_b: list) -> Iterator[tuple[int, int]]:
@@ -148,39 +173,28 @@ def _blocks(path_a: str, path_b: str, block_bytes: int) -> object:
 
 
 def _one_block(part: pa.RecordBatch, number: int, aligner: Aligner, length_a: dict, length_b: list) -> Iterator[pa.RecordBatch]:
-    chunk_no: dict[str, int] = {}
-    group_no: dict[str, int] = {}
-    groups_of_chunk: list[list[int]] = []
-    tokens_of_chunk: list[tuple[int, int]] = []
-    digests, of_doc = [], []
-    for parts in aligner.texts(part.column(1).to_pylist()):
-        digests.append(hashlib.sha256(";".join([p[2] for p in parts]).encode()).hexdigest() if parts else "")
-        own = []
-        for p in parts:
-            at = chunk_no.get(p[2])
-            if at is None:
-                at = chunk_no[p[2]] = len(groups_of_chunk)
-                groups_of_chunk.append([group_no.setdefault(g, len(group_no)) for g in p[3]])
-                tokens_of_chunk.append((p[0], p[1]))
-            own.append(at)
-        of_doc.append(own)
-    # All groups of all documents in turn, then the distinct ones of each document with their number.
-    size = np.array([len(g) for g in groups_of_chunk], np.int64)
-    flat = np.array([g for own in groups_of_chunk for g in own], np.int64)
-    seen = np.array([c for own in of_doc for c in own], np.int64)
+    of_doc = aligner.numbered(part.column(1).to_pylist())
+    joined = aligner.joined
+    digests = [hashlib.sha256(";".join([joined[c] for c in own]).encode()).hexdigest() if own else "" for own in of_doc]
+    # The block's own numbers of its chunks and groups.
     doc_of_chunk = np.repeat(np.arange(len(of_doc)), [len(own) for own in of_doc])
-    tokens = np.array(tokens_of_chunk, np.int64).reshape(-1, 2)
+    chunks, seen = np.unique(np.fromiter((c for own in of_doc for c in own), np.int64, len(doc_of_chunk)), return_inverse=True)
+    groups_of_chunk = [aligner.groups[c] for c in chunks.tolist()]
+    size = np.array([len(g) for g in groups_of_chunk], np.int64)
+    ids, flat = np.unique(np.array([g for own in groups_of_chunk for g in own], np.int64), return_inverse=True)
+    keys = [aligner.keys[g] for g in ids.tolist()]
+    tokens = np.array([aligner.counts[c] for c in chunks.tolist()], np.int64).reshape(-1, 2)
     n_a, n_b, n_groups = (np.zeros(len(of_doc), np.int64) for _ in range(3))
     for total, each in ((n_a, tokens[:, 0]), (n_b, tokens[:, 1]), (n_groups, size)):
         np.add.at(total, doc_of_chunk, each[seen])
+    # All groups of all documents in turn, then the distinct ones of each document with their number.
     found = flat[K.take_ranges((np.cumsum(size) - size)[seen], size[seen])] if len(seen) else flat
     doc = np.repeat(doc_of_chunk, size[seen]) if len(seen) else doc_of_chunk
-    own, times = np.unique(doc * max(len(group_no), 1) + found, return_counts=True)
-    doc, group = own // max(len(group_no), 1), own % max(len(group_no), 1)
+    own, times = np.unique(doc * max(len(keys), 1) + found, return_counts=True)
+    doc, group = own // max(len(keys), 1), own % max(len(keys), 1)
     cut = np.searchsorted(doc, np.arange(len(of_doc) + 1)) * 4
     as_bytes = lambda x: (raw := x.astype(np.uint32).tobytes()) and [raw[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)] or [b""] * len(of_doc)
     yield _rows(DOCUMENT, len(of_doc), block=np.full(len(of_doc), number), i=np.arange(len(of_doc)), doc_id=part.column(0), n_a=n_a, n_b=n_b, n_groups=n_groups, n_links=n_a + n_b - n_groups, groups_sha256=digests, at=as_bytes(group), times=as_bytes(times))
-    keys = list(group_no)
     yield _rows(GROUP, len(keys), block=np.full(len(keys), number), i=np.arange(len(keys)), key=keys)
     # The block's pairs, numbered; a document counts once for a pair that several of its groups hold.
     pair_no: dict[tuple[int, int], int] = {}
