@@ -75,9 +75,9 @@ def median_step(bars: DataFrame, expected_seconds: int) -> DataFrame:
     return both.select("symbol", median.alias("median_sec"), is_true(median.between(0.8 * expected_seconds, 1.2 * expected_seconds)).alias("ok"))
 
 
-def dedup(bars: DataFrame, tie: Column | None = None) -> DataFrame:
+def dedup(bars: DataFrame, tie: Column) -> DataFrame:
     """One row for each (symbol, timestamp): the first by ``tie``."""
-    w = W.partitionBy("symbol", "timestamp").orderBy(tie if tie is not None else F.lit(0))
+    w = W.partitionBy("symbol", "timestamp").orderBy(tie)
     return bars.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 

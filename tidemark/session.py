@@ -17,9 +17,13 @@ def session(app: str = "tidemark", **conf: str) -> SparkSession:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's spark.checkpoint.dir."""
+    """Cut the lineage with a reliable checkpoint in the cluster's spark.checkpoint.dir; a new temporary folder in local mode alone."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        folder = context.getConf().get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
