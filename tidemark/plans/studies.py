@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from tidemark.operators import trades as T
 from tidemark.plans.search import both_exit_types, exit_space, quantity_space, reported, run_trials, sample, study_name, tpe
 from tidemark.plans.strategies import Strategy
+from tidemark.sources.bars import ALIASES
 
-#: Short names of assets (fixed values), the asset where none is named, and the score of a failed trial.
-ALIASES = {"SP": "SP500", "NDX": "NASDAQ"}
+#: The asset where none is named, and the score of a failed trial (fixed values).
 DEFAULT_ASSET, FAILED = "GOLD", -9999.0
 #: Target quantities of assets and their ranges where none is known (fixed values).
 DEFAULT_QTY, DEFAULT_RANGE = 3.0, (0.01, 5.0, 0.01)
