@@ -5,6 +5,7 @@ Doubles are rounded to six places on both sides, as the engines sum in different
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -22,7 +23,8 @@ from tidemark.operators.atr_exits import AtrConfig, atr_exits
 from tidemark.plans import report as R
 from tidemark.plans import search as S
 from tidemark.plans.strategies import Choice, armed, discover, find
-from tidemark.session import cut
+from tidemark.plans.studies import Asset, run_studies, studies_of
+from tidemark.session import cut, shared_folder
 from tidemark.sources.bars import between, event_ticks, lineitem_ticks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +110,19 @@ def sweep(s: SparkSession, d: str) -> DataFrame:
     return S.run_trials(hourly(s, d), find(3), trials, CFG)[0]
 
 
+#: Assets of the study query, and its two parameter sets: length of the average, stop and target in percent.
+STUDIED, GIVEN = ("click", "purchase"), ((20, 20.0, 20.0), (35, 15.0, 40.0))
+
+
+def _trials(s: SparkSession, d: str) -> DataFrame:
+    """Four studies, two assets by two exit types, of given parameter sets, run at once over one table of trials."""
+    bars = cut(hourly(s, d))
+    plan = studies_of([Asset(a, CFG.qty) for a in STUDIED], [find(3)], replace(CFG, exit_type="all"))
+    given = [{"hl_period": k, "exit_sl_pct": sl, "exit_tp_pct": tp} for k, sl, tp in GIVEN]
+    table = run_studies(bars, plan, len(given), f"{shared_folder(s)}/trials-{uuid.uuid4().hex}", given=given)
+    return rounded(table.select("study", "asset", "strategy", "exit_type", "trial", "state", "score"))
+
+
 def _asof(mode: str) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
         ticks = event_ticks(s, d)
@@ -271,6 +286,7 @@ def queries() -> dict[str, Query]:
         "metrics_summary": metrics_summary,
         "score": _scores,
         "sweep_topk": lambda s, d: rounded(S.best_of_each(sweep(s, d), 2, "symbol").select("symbol", F.col("trial"), "n_trades", "score", F.col("rank").cast("long").alias("rank"))),
+        "trials_table": _trials,
         "best_so_far": lambda s, d: rounded(S.best_so_far(sweep(s, d), "symbol").select("symbol", "trial", "score", "best_score")),
         "summary_table": lambda s, d: R.summary_table(sweep(s, d).select("symbol", "trial", "n_trades", "saldo_actual", "score"), "crossover_hl_ma", 4),
         "chart_candles": lambda s, d: R.candles(hourly(s, d)),
@@ -605,6 +621,11 @@ def oracle_sql() -> dict[str, str]:
     union = " UNION ALL ".join(f"SELECT y.symbol, {n}::BIGINT AS trial, n_trades, saldo_actual, coalesce(score, 0) AS score FROM (SELECT DISTINCT symbol FROM b) y LEFT JOIN sc{t} USING (symbol)" for t, n, *_ in tags)
     every = f"{_BASE}, {sweep_sql}, u AS ({union})"
     s["sweep_topk"] = f"{every} SELECT symbol, trial, n_trades, {_r('score')} AS score, row_number() OVER (PARTITION BY symbol ORDER BY score DESC, trial) AS rank FROM u QUALIFY rank <= 2"
+    runs = [(f"_{t}{n}", t, n, replace(CFG, exit_type=t), *own) for t in ("pnl_fixed", "pnl_trailing") for n, own in enumerate(GIVEN)]
+    told = ", ".join(f"{_exit_sql(c, k, t, sl, tp)}, {_chain_sql(0, t)}, {_account_sql(c, t)}, {_metric_sql(c, t)}" for t, _, _, c, k, sl, tp in runs)
+    trials = " UNION ALL ".join(f"SELECT y.asset, '{kind}' AS exit_type, {n}::BIGINT AS trial, coalesce(score, 0) AS score FROM (SELECT unnest({list(STUDIED)}) AS asset) y LEFT JOIN sc{t} ON symbol = asset" for t, kind, n, *_ in runs)
+    named = "asset || '_crossover_hl_ma_' || exit_type AS study, asset, 'crossover_hl_ma' AS strategy, exit_type, trial, CASE WHEN score > 0 THEN 'complete' ELSE 'empty' END AS state"
+    s["trials_table"] = f"{_BASE}, {told}, u AS ({trials}) SELECT {named}, {_r('score')} AS score FROM u"
     s["best_so_far"] = f"{every} SELECT symbol, trial, {_r('score')} AS score, {_r('max(score) OVER (PARTITION BY symbol ORDER BY trial)')} AS best_score FROM u"
     s["summary_table"] = f"{every} SELECT 'crossover_hl_ma' AS \"ESTRATEGIA\", symbol AS \"SYMBOL\", trial AS \"TRIAL\", n_trades AS \"N_TRADES\", round(saldo_actual, 4) AS \"SALDO_ACTUAL\", round(score, 4) AS \"SCORE\" FROM u"
     s["chart_candles"] = f"{_BASE} SELECT symbol, epoch(timestamp)::BIGINT AS t, round_even(open * 100, 0)::BIGINT AS o, round_even(high * 100, 0)::BIGINT AS h, round_even(low * 100, 0)::BIGINT AS l, round_even(close * 100, 0)::BIGINT AS c FROM b"
