@@ -13,6 +13,7 @@ from tidemark.functions import indicators as I
 from tidemark.operators import bars as B
 from tidemark.operators import metrics as M
 from tidemark.operators import trades as T
+from tidemark.operators.atr_exits import AtrConfig, atr_settings, pct_exit, pnl_pct
 from tidemark.plans import report as R
 from tidemark.plans import search as S
 from tidemark.plans import strategies as P
