@@ -9,7 +9,8 @@ likeliest language for as long as the penalised log likelihood of the mixture ri
 Defined results: ``und`` with score 0 where the text is null or has no letter, or where
 no labelled rows exist; equal likelihoods go to the language that sorts first; rows
 with a null or non-held-out doc_id hash are used to learn only if lang is known;
-repeated rows count as often as they occur; further columns are ignored.
+repeated rows count as often as they occur; a very long text is read whole, its words all weighing alike; an
+empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations

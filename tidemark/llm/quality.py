@@ -8,9 +8,10 @@ n-gram counts over the root of their number; its score is the logistic of one sp
 product. Training runs the per-coordinate FTRL-proximal update over the bounded
 labelled sample, in an order fixed by content, so reruns agree.
 
-Defined results: null and empty texts get the score of the bias alone; without
-labelled rows every score is 0.5; documents need no label; repeated rows and
-further columns do no harm.
+Defined results: null and empty texts get the score of the bias alone; a very long text is scored whole, its
+counts being divided by the root of their number; without
+labelled rows every score is 0.5; documents need no label; repeated rows and rows with one doc_id are scored each, by
+their own text, and equal texts tie; an empty table gives no rows; further columns do no harm.
 """
 
 from __future__ import annotations
