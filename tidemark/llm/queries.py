@@ -87,8 +87,8 @@ FROM d LEFT JOIN g USING (r)
 #: Every query row against every other row, by integer inner product; rows are known by number, as ids may repeat.
 TOPK_SQL = """
 WITH f AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda v: floor(v::DOUBLE * 1024)::BIGINT) AS x FROM embeddings
-           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
-c AS (SELECT r, vec_id, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM f),
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+c AS (SELECT r, vec_id, unnest(list_prepend(0, x)) AS v, generate_subscripts(list_prepend(0, x), 1) AS i FROM f),
 s AS (SELECT q.r AS q, q.vec_id AS query_id, o.r, o.vec_id, sum(q.v * o.v)::BIGINT AS score
       FROM c q JOIN c o ON q.i = o.i AND q.r <> o.r WHERE q.vec_id % 100 = 0 GROUP BY ALL),
 n AS (SELECT query_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)

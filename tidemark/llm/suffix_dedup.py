@@ -13,8 +13,8 @@ Before the shuffle, marks with equal surroundings within a chunk are settled the
 but for the earliest, so a passage that very many documents share sends few rows.
 
 Defined results: null text counts as empty; matches stay within rows; null ids sort
-first; rows that are equal in id and text count as one place, so neither removes the
-other; rows of one id with different texts tie and are ordered by start, then text hash; a very long text
+first; a place is an id and a start, so strings of rows with one id that start at one offset tie,
+whatever the rest of their texts, and none of them removes the other; a very long text
 is processed whole, its suffixes cut to what one string needs; an empty table gives no rows; further columns
 of the input are ignored.
 """
@@ -87,6 +87,18 @@ def _mark_rows(window: int, k: int):
     return run
 
 
+def _equal_bytes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, lo2: np.ndarray, hi2: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Whether data[lo:hi] equals data[lo2:hi2], for the rows ``which``; true for all others."""
+    out = np.ones(len(lo), bool)
+    size = hi[which] - lo[which]
+    good = size == hi2[which] - lo2[which]
+    for step in range(int(size.max(initial=0))):
+        inside = np.minimum(step, size - 1)
+        good[good] = data[(lo[which] + inside)[good]] == data[(lo2[which] + inside)[good]]
+    out[which] = good
+    return out
+
+
 def _suffix_rows(window: int, k: int, splitters: list[bytes]):
     bounds = np.array(splitters, f"S{k}") if splitters else np.empty(0, f"S{k}")
     left, names = window - k, ["bucket", "id", "th", "pos", "pre", "suf", "lo", "hi"]
@@ -102,11 +114,13 @@ def _suffix_rows(window: int, k: int, splitters: list[bytes]):
                 lo, hi = np.maximum(at - left, offsets[doc]), np.minimum(at + window, offsets[doc + 1])
                 sums = K.prefix(data)
                 around = K.mix(K.span_hash(sums, lo, hi) + (at - lo).astype(np.uint64))
-                order = np.lexsort((d_th, rel, d_id, around))
+                order = np.lexsort((rel, d_id, around))
                 head = np.ones(len(at), bool)
                 head[1:] = around[order][1:] != around[order][:-1]
                 first = order[np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))]
-                same = (d_id[order] == d_id[first]) & (rel[order] == rel[first]) & (d_th[order] == d_th[first])
+                same = (d_id[order] == d_id[first]) & (rel[order] == rel[first])
+                # What the hashes call equal is settled here only if its bytes are.
+                same |= ~_equal_bytes(data, lo[order], hi[order], lo[first], hi[first], np.flatnonzero(~same))
                 early = np.zeros(len(at), bool)
                 early[order] = same
                 late = np.flatnonzero(~early)
@@ -144,6 +158,7 @@ def _settle(window: int, k: int):
         once[1:] = (np.diff(ids[order]) != 0) | (np.diff(pos[order]) != 0) | (np.diff(ths[order]) != 0)
         order = order[once]
         ids, ths, pos, table = ids[order], ths[order], pos[order], table.select(["pre", "suf"]).take(pa.array(order))
+        place = np.concatenate(([0], np.cumsum((np.diff(ids) != 0) | (np.diff(pos) != 0)))) if len(ids) else ids
         (suf, n_suf), (pre, n_pre) = _matrix(table.column("suf"), window), _matrix(table.column("pre"), window - k)
         by_suf, by_pre = multikey_sort(suf), multikey_sort(pre)
         lcp, lcs, n = _neighbours(suf, by_suf), _neighbours(pre, by_pre), len(ids)
@@ -160,7 +175,10 @@ def _settle(window: int, k: int):
                 continue
             kind = (classes(by_suf, lcp, window - e) * n + classes(by_pre, lcs, e))[real]
             by_kind = np.argsort(kind, kind="stable")
-            repeated[real[by_kind[1:][kind[by_kind][1:] == kind[by_kind][:-1]]], e + 1] = True
+            own = real[by_kind]
+            heads = np.append(True, kind[by_kind][1:] != kind[by_kind][:-1])
+            leader = own[np.maximum.accumulate(np.where(heads, np.arange(len(own)), 0))]
+            repeated[own[place[own] != place[leader]], e + 1] = True
         step = np.diff(repeated.astype(np.int8), axis=1)
         row, e1 = np.nonzero(step == 1)
         e2 = np.nonzero(step == -1)[1] - 1

@@ -11,8 +11,8 @@ those are all rescored exactly, so the result is exact, ties by the smaller id.
 Query blocks meet index blocks by an equality join on block numbers; each pair
 returns k rows for each query, and the best k of all are kept.
 
-Defined results: vectors that are null, empty or hold a null or non-finite component
-take no part; shorter vectors count as padded with zeros; a very long vector widens its block alone; rows with
+Defined results: vectors that are null or hold a null or non-finite component
+take no part; shorter vectors count as padded with zeros, so an empty one scores 0 with every other; a very long vector widens its block alone; rows with
 equal vec_id are candidates each, and a query is every row whose id is divisible, never paired with
 its own row, so that twins find one another and each has its own ranks; null ids take no part; an empty table
 gives no rows; further columns are ignored.
@@ -40,10 +40,10 @@ def _integers(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
     size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
     values = pc.cast(lists.flatten(), pa.float64()).to_numpy(zero_copy_only=False)
-    wide = np.zeros((len(size), int(size.max(initial=0))))
+    wide = np.zeros((len(size), max(1, int(size.max(initial=0)))))  # an empty vector is zero throughout
     wide[np.arange(wide.shape[1])[None, :] < size[:, None]] = values
     ids, rows = table.column("vec_id").to_numpy(), table.column("row").to_numpy()
-    ok = (size > 0) & np.isfinite(wide).all(axis=1)
+    ok = np.isfinite(wide).all(axis=1)
     return ids[ok], rows[ok], np.floor(wide[ok] * 1024).astype(np.int64)
 
 
@@ -132,6 +132,8 @@ def _search_rows(k: int) -> object:
                     built = (r["block"], Index(np.frombuffer(r["x"], np.int64).reshape(len(ids), -1)), ids)
                 own = np.frombuffer(r["rows"], np.int64)
                 qids, qrows = (np.frombuffer(r[c], np.int64) for c in ("qids", "qrows"))
+                if not len(qids):
+                    continue
                 qs = np.frombuffer(r["qx"], np.int64).reshape(len(qids), -1)
                 width = built[1].x.shape[1]
                 qs = np.pad(qs, ((0, 0), (0, max(0, width - qs.shape[1]))))[:, :width]
@@ -144,8 +146,7 @@ def _search_rows(k: int) -> object:
                     out[1].append(np.full(len(best), qrow))
                     out[2].append(ids[rows[best]])
                     out[3].append(score[best])
-                if qids.size:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o).astype(np.int64)) for o in out], names=["query_id", "query_row", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o).astype(np.int64)) for o in out], names=["query_id", "query_row", "vec_id", "score"])
 
     return run
 
