@@ -27,6 +27,13 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in a byte-level vocabulary, by its published rule: printable bytes for themselves, others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
 def id_type(size: int) -> np.dtype:
     """Two bytes for an id where the vocabulary allows it, else four."""
     return np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
@@ -39,15 +46,15 @@ class Remembered(dict):
         super().__init__()
         self.answer, self.most = answer, most
 
-    def learn(self, chunks: set) -> None:
-        """Make sure that all ``chunks`` have their answer. A full memory keeps its older half, as common chunks come early."""
-        new = [c for c in chunks if c not in self]
+    def learn(self, chunks: set) -> dict:
+        """The answers of unknown ``chunks``, kept for later. A full memory keeps its older half, as common chunks come early."""
+        asked = list(chunks)
+        new = dict(zip(asked, self.answer(asked), strict=True))
         if len(self) + len(new) > self.most:
             for c in list(self)[self.most // 2 :]:
                 del self[c]
-            new = [c for c in chunks if c not in self]
-        if new:
-            self.update(zip(new, self.answer(new), strict=True))
+        self.update(new)
+        return new
 
 
 def word_chunks(text: bytes) -> list[bytes]:

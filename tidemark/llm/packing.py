@@ -17,47 +17,101 @@ stays null; an empty table gives no rows; further columns are ignored, whatever
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.encoders import Remembered, id_type, public_path, word_chunks
+from tidemark.llm.encoders import Remembered, byte_letters, id_type, public_path, word_chunks
 from tidemark.llm.skew import FEW, matching
 from tidemark.llm.store import materialize
 
 TOKENIZER, LENGTH, END = "word_bpe_49k.json", 2048, 0
 #: Pieces that one partition packs, the fewest it gets, and partitions that exchange documents.
 PART, LEAST, FAN = 131_072, 512, 8
+#: Chunks that a task remembers at most.
+KNOWN = 600_000
 #: Dual-feasible functions of the rounding family that are tried.
 ROUNDINGS = 64
 
 
+#: A word of letters that ends in an ASCII one, then a little ASCII punctuation: bytes of the letters up to U+00FF but for the two signs among them.
+_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*[A-Za-z])([!-&(-/:-@\[-`{-~]{0,3})")
+_WORD_END = "</w>"
+
+
 class WordEncoder:
-    """Ids of texts by a vocabulary that drops white space; no token crosses it, so chunks between white space are remembered."""
+    """Ids of texts by a vocabulary that drops white space; no token crosses it, so chunks between white space are remembered.
+
+    Most new chunks are a word and perhaps punctuation behind it, between which the vocabulary always cuts. Its tokens are numbered in
+    the order of their merges, so a word is merged by ranks; as text is lower case there, a capital stands for a
+    word's last letter. Whatever else there is goes to the tokenizer itself.
+    """
 
     def __init__(self, path: str, end: int = END):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = id_type(self.tokenizer.get_vocab_size(with_added_tokens=True))
-        self.end, self.known = np.array([end], self.kind).tobytes(), Remembered(self.ids)
-
-    def ids(self, chunks: list[bytes]) -> list[bytes]:
+        self.end, self.known = np.array([end], self.kind).tobytes(), Remembered(self.ids, KNOWN)
+        letters, ranks, self.last = byte_letters(), {}, np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        with open(path, encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
+        for token, i in vocabulary.items():
+            last = token.endswith(_WORD_END) and len(token) > len(_WORD_END)
+            raw = bytes(letters[c] for c in (token[: -len(_WORD_END)] if last else token))
+            if last and not 97 <= raw[-1] <= 122 or not last and any(65 <= x <= 90 for x in raw):
+                continue
+            ranks[raw[:-1] + bytes([raw[-1] - 32]) if last else raw] = i
+            self.last[i] = last
+        self.words = tiktoken.Encoding("own", pat_str="[^ ]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.tails: dict[bytes, bytes] = {b"": b""}
+
+    def hard(self, chunks: list[bytes]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in encoded]
 
+    def plain(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters, all merged at once; tokens that end a word say where the next one's begin."""
+        raw = np.frombuffer(b" ".join(words).decode().lower().encode(), np.uint8).copy()
+        raw[np.append(np.flatnonzero(raw == 32) - 1, len(raw) - 1)] -= 32
+        ids = np.array(self.words(raw.tobytes().decode()))
+        cuts = ((np.flatnonzero(self.last[ids]) + 1) * self.kind.itemsize).tolist()
+        packed = ids.astype(self.kind).tobytes()
+        return [packed[i:j] for i, j in zip([0, *cuts[:-1]], cuts, strict=True)]
+
+    def ids(self, chunks: list[bytes]) -> list[bytes]:
+        matched = [_PLAIN.fullmatch(c) for c in chunks]
+        rest = iter(self.hard([c for c, m in zip(chunks, matched, strict=True) if not m]))
+        own = [m for m in matched if m]
+        words = iter(self.plain([m[1] for m in own]) if own else ())
+        tails = list({m[2] for m in own}.difference(self.tails))
+        self.tails.update(zip(tails, self.hard(tails), strict=True))
+        return [next(words) + self.tails[m[2]] if m else next(rest) for m in matched]
+
     def __call__(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """Ids of each text and the end mark, as bytes."""
         cut = [word_chunks(t or b"") for t in texts]
-        self.known.learn(set().union(*cut))
-        for chunks in cut:
-            yield b"".join([self.known[c] for c in chunks]) + self.end
+        chunks = list(chain.from_iterable(cut))
+        found = list(map(self.known.get, chunks))
+        unknown = [i for i, x in enumerate(found) if x is None]
+        if unknown:
+            new = self.known.learn({chunks[i] for i in unknown})
+            for i in unknown:
+                found[i] = new[chunks[i]]
+        stop = 0
+        for own in cut:
+            start, stop = stop, stop + len(own)
+            yield b"".join(found[start:stop]) + self.end
 
 
 _PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
-from tidemark.llm.encoders import public_path, space_chunks
+from tidemark.llm.encoders import byte_letters, public_path, space_chunks
 from tidemark.llm.store import materialize
 from tidemark.llm.token_shards import PATTERN
 
@@ -44,13 +44,6 @@ _TYPES = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary"
 _SCHEMA = pa.schema([(f.split()[0], _TYPES[f.split()[1]]) for f in _FIELDS.split(", ")])
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in a byte-level vocabulary, by its published rule: printable bytes for themselves, others from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 class Aligner:
     """Both tokenizers, the bytes of their tokens, and the groups of text chunks, each known by a number.
 
