@@ -76,6 +76,10 @@ class WordEncoder:
         self.words = tiktoken.Encoding("own", pat_str="[^ ]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.tails: dict[bytes, bytes] = {b"": b""}
 
+    def chunks(self, text: bytes) -> list[bytes]:
+        """Chunks in lower case where that changes no id: no special token, nor a mark that composes with a letter."""
+        return word_chunks(text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.lower())
+
     def hard(self, chunks: list[bytes]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in encoded]
@@ -100,7 +104,7 @@ class WordEncoder:
 
     def __call__(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """Ids of each text and the end mark, as bytes."""
-        cut = [word_chunks(t or b"") for t in texts]
+        cut = [self.chunks(t or b"") for t in texts]
         chunks = list(chain.from_iterable(cut))
         found = list(map(self.known.get, chunks))
         unknown = [i for i, x in enumerate(found) if x is None]
