@@ -71,7 +71,7 @@ def summary(executed: DataFrame, cfg: Config, period: DataFrame | None = None, b
     base = executed.groupBy(*by).agg(
         (100.0 * (last - cfg.saldo_inicial) / cfg.saldo_inicial if cfg.saldo_inicial else F.lit(0.0)).alias("roi"),
         F.avg(F.when(win, 100.0).otherwise(0.0)).alias("winrate"),
-        (F.avg(F.when(win, 1.0).otherwise(0.0)) * avg_if(win) + (1 - F.avg(F.when(win, 1.0).otherwise(0.0))) * avg_if(net <= 0)).alias("expectativa"),
+        F.avg(net).alias("expectativa"),
         F.avg(net).alias("retorno_promedio"),
         F.coalesce(safe_div(F.sqrt(F.count(good)) * F.avg(good), F.stddev_samp(good), 0.0), F.lit(0.0)).alias("sqn"),
         F.avg(F.when(win, 100.0).otherwise(0.0)).alias("porc_ganadoras"),
@@ -114,7 +114,7 @@ def summary(executed: DataFrame, cfg: Config, period: DataFrame | None = None, b
     years = F.greatest((F.unix_micros(F.col("_last").cast("timestamp")) - F.unix_micros(F.col("_first").cast("timestamp"))) / 86_400e6, F.lit(0.0)) / 365.25
     grown = F.col("saldo_actual") / cfg.saldo_inicial if cfg.saldo_inicial > 0 else F.lit(0.0)
     power = F.pow(grown, safe_div(F.lit(1.0), years)) - 1
-    cagr = F.when(years <= 0, 0.0).when(grown <= 0, None).when(grown > 1e6, None).when(years < 0.001, 0.0).when(power > 1e10, None).otherwise(power)
+    cagr = F.when(years < 0.001, 0.0).when(grown <= 0, None).when(grown > 1e6, None).when(power > 1e10, None).otherwise(power)
     ratio = safe_div(cagr, F.col("drawdown") / 100.0)
     out = out.withColumns({
         "trades_por_dia": F.when(days > 0, F.col("n_trades") / days).otherwise(0.0),
