@@ -43,3 +43,17 @@ def exactly(spark, path, name):
 def test_metrics_empty_to_the_last_place(spark, ticks):
     found, rows = exactly(spark, ticks, "metrics_empty")
     assert found == rows
+
+
+def test_metrics_summary_to_the_last_place(spark, ticks):
+    found, rows = exactly(spark, ticks, "metrics_summary")
+    assert found == rows
+
+
+def test_rounded_takes_the_side_that_the_double_lies_on(spark):
+    values = [155.240941925, -24.610413475, 2.5, -0.0, 1.5e300, 0.1234565, 3.0000005]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    for places in (6, 8):
+        got = [r.v for r in Q.rounded(df, places).orderBy("i").collect()]
+        want = [duckdb.execute(f"SELECT round(?::DOUBLE, {places}) + 0.0", [v]).fetchone()[0] for v in values]
+        assert got == want

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import replace
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -41,9 +41,17 @@ MONEY = 8
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """That many places, no negative zero, no NaN."""
-    fix = {c: F.when(~F.isnan(c), F.round(F.col(c), places) + F.lit(0.0)) for c, t in df.dtypes if t == "double"}
-    return df.withColumns(fix)
+    """That many places, no negative zero, no NaN.
+
+    The product is rounded, as SQL engines do: Spark's ``round`` takes a double's shortest decimal, which ends in a tie where the double lies beside it.
+    """
+    unit = F.lit(10.0**places)
+
+    def fixed(c: str) -> Column:
+        near = F.round(F.col(c) * unit) / unit
+        return F.when(~F.isnan(c), F.when(F.abs(near) < F.lit(float("inf")), near).otherwise(F.col(c)) + F.lit(0.0))
+
+    return df.withColumns({c: fixed(c) for c, t in df.dtypes if t == "double"})
 
 
 def hourly(s: SparkSession, d: str) -> DataFrame:
