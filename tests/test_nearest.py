@@ -6,6 +6,7 @@ from bisect import bisect_left
 from datetime import datetime, timedelta
 
 from tidemark import queries as Q
+from tidemark.operators import bars as B
 
 
 def test_nearest_snap_covers_every_tick(spark, tmp_path):
@@ -23,3 +24,13 @@ def test_nearest_snap_covers_every_tick(spark, tmp_path):
     got = Q.queries()["nearest_snap"](spark, str(tmp_path)).collect()
     assert len(got) == len(rows)
     assert {(r.symbol, r.timestamp, r.event_id, r.snap_ts) for r in got} == want
+
+
+def test_nearest_over_days_without_bars_reads_no_frame_again_for_each_row(spark):
+    start = datetime(2024, 1, 1)
+    bars = [("a", start + timedelta(hours=h)) for h in (5, 29, 30, 400, 401, 1000)] + [(None, start)]
+    points = [("a", start + timedelta(hours=h / 2), h) for h in range(0, 2100, 7)] + [("a", None, -1), (None, start, -2), ("b", start, -3)]
+    df = B.nearest(spark.createDataFrame(points, "symbol string, timestamp timestamp_ntz, key long"), spark.createDataFrame(bars, "symbol string, timestamp timestamp_ntz"), "key")
+    near = {k: None if s != "a" or t is None else min((b for x, b in bars if x == "a"), key=lambda b: (abs(b - t), b)) for s, t, k in points}
+    assert {r.key: r.snap_ts for r in df.collect()} == near
+    assert "currentrow$(), unboundedfollowing" not in df._jdf.queryExecution().executedPlan().toString().lower()

@@ -100,14 +100,24 @@ def asof_align(base: DataFrame, signals: DataFrame, carry: list[str], lookahead:
 
 
 def nearest(points: DataFrame, bars: DataFrame, key: str) -> DataFrame:
-    """For each point (symbol, timestamp, ``key``) the nearest bar's time as ``snap_ts``; ties go to the earlier."""
+    """For each point (symbol, timestamp, ``key``) the nearest bar's time as ``snap_ts``; ties go to the earlier.
+
+    Both sides meet day by day; a day's last bar before it and first bar after it come from a table of days.
+    """
     both = points.select("symbol", "timestamp", key, F.lit(1).alias("_side"), F.lit(None).cast("timestamp_ntz").alias("bar_ts")).unionByName(bars.select("symbol", "timestamp", F.lit(None).cast(dict(points.dtypes)[key]).alias(key), F.lit(0).alias("_side"), F.col("timestamp").alias("bar_ts")))
-    back = W.partitionBy("symbol").orderBy("timestamp", "_side").rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy("symbol").orderBy("timestamp", F.col("_side").desc()).rowsBetween(0, W.unboundedFollowing)
-    found = both.withColumn("before", F.last("bar_ts", ignorenulls=True).over(back)).withColumn("after", F.first("bar_ts", ignorenulls=True).over(ahead)).where("_side = 1")
+    both = both.withColumn("_day", F.to_date("timestamp"))
+    ends = both.where("_day is not null").groupBy("symbol", "_day").agg(F.min("bar_ts").alias("first"), F.max("bar_ts").alias("last"))
+    # Frames that end at the row: those that begin there are summed anew for every row.
+    past, to_come = W.partitionBy("symbol").orderBy("_day").rowsBetween(W.unboundedPreceding, -1), W.partitionBy("symbol").orderBy(F.desc("_day")).rowsBetween(W.unboundedPreceding, -1)
+    days = ends.select("symbol", "_day", F.max("last").over(past).alias("day_before"), F.min("first").over(to_come).alias("day_after"))
+    back = W.partitionBy("symbol", "_day").orderBy("timestamp", "_side").rowsBetween(W.unboundedPreceding, 0)
+    ahead = W.partitionBy("symbol", "_day").orderBy(F.desc("timestamp"), "_side").rowsBetween(W.unboundedPreceding, 0)
+    found = both.withColumn("before", F.last("bar_ts", ignorenulls=True).over(back)).withColumn("after", F.last("bar_ts", ignorenulls=True).over(ahead)).where("_side = 1")
+    found = found.join(days, ["symbol", "_day"], "left").withColumns({"before": F.coalesce("before", "day_before"), "after": F.coalesce("after", "day_after")})
     gap = lambda a, b: F.unix_micros(F.col(b).cast("timestamp")) - F.unix_micros(F.col(a).cast("timestamp"))
     later = F.col("before").isNull() | (gap("timestamp", "after") < gap("before", "timestamp"))
-    return found.select("symbol", "timestamp", key, F.when(later & F.col("after").isNotNull(), F.col("after")).otherwise(F.col("before")).alias("snap_ts"))
+    snap = F.when(later & F.col("after").isNotNull(), F.col("after")).otherwise(F.col("before"))
+    return found.select("symbol", "timestamp", key, F.when(F.col("symbol").isNotNull(), snap).alias("snap_ts"))
 
 
 # --- timeframe names -------------------------------------------------------
