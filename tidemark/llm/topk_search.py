@@ -165,7 +165,9 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
 
     each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
     queries = deal(asked, "part", parts).select(each, F.col("ids").alias("qids"), F.col("rows").alias("qrows"), F.col("x").alias("qx"))
-    pairs = deal(base, "block", blocks).join(queries, "block").select("block", "ids", "rows", "x", "qids", "qrows", "qx")
+    # Merged, whatever the sizes seem: the copies of query blocks are made behind their shuffle, whose size would have them broadcast by
+    # way of the driver. The one row of an index block is what the join holds.
+    pairs = queries.join(deal(base, "block", blocks).hint("merge"), "block").select("block", "ids", "rows", "x", "qids", "qrows", "qx")
     found = pairs.mapInArrow(_search_rows(k), "query_id long, query_row long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
