@@ -57,3 +57,11 @@ def test_rounded_takes_the_side_that_the_double_lies_on(spark):
         got = [r.v for r in Q.rounded(df, places).orderBy("i").collect()]
         want = [duckdb.execute(f"SELECT round(?::DOUBLE, {places}) + 0.0", [v]).fetchone()[0] for v in values]
         assert got == want
+
+
+def test_summary_reads_its_trades_from_a_checkpoint(spark):
+    executed, bars = Q._executed(spark, "/root/testdata/sf0.001", Q.RICH)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    marked = executed.where("seq < 987654321")
+    assert "987654321" in plan(marked)
+    assert "987654321" not in plan(Q.M.summary(marked, Q.RICH, Q._period(bars)))

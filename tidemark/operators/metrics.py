@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import finite, safe_div
 from tidemark.operators.trades import Config, equity
+from tidemark.session import cut
 
 #: Other names of metrics that readers may ask for, without regard to case (fixed values).
 METRIC_ALIASES = {
@@ -59,6 +60,7 @@ def summary(executed: DataFrame, cfg: Config, period: DataFrame | None = None, b
 
     Undefined ratios are null. The equity curve includes the initial balance.
     """
+    executed = cut(executed)  # read by five branches, whose steps would all lie in one task with those before them
     n, net = F.count("*"), F.col("pnl_neto")
     win, loss = net > 0, net < 0
     avg_if = lambda c: F.coalesce(F.avg(F.when(c, net)), F.lit(0.0))
